@@ -59,7 +59,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{uuid.uuid4().hex}-{name}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps re-read files and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """Write the table to the shared folder and read it back.
+
+    Later steps read only the columns they need, and a lost executor costs its tasks, not
+    the steps before. The caller owns the returned path.
+    """
+    path = scratch_path(df.sparkSession, f"{name}.parquet")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
