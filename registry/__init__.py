@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["scans", "kpis", "cleaning"]
+GROUPS = ["scans", "profiles", "kpis", "cleaning"]
 _LATER = [
     "scans", "profiles", "cleaning", "features", "windows", "statistics", "kpis", "drivers", "charts", "stars",
 ]
