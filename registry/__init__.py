@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["scans", "profiles", "kpis", "cleaning"]
-_LATER = [
+GROUPS = [
     "scans", "profiles", "cleaning", "features", "windows", "statistics", "kpis", "drivers", "charts", "stars",
 ]
 

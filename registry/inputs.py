@@ -200,7 +200,12 @@ def rounded(expression: str, digits: int) -> str:
 
 
 def money_sum(c: str) -> str:
-    return f"CAST(SUM(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({c} AS DECIMAL(28,10))) AS DOUBLE)"
+
+
+def sum2(c: str) -> str:
+    """SQL twin of ``rounded_sum``."""
+    return f"CAST(ROUND(SUM(CAST({c} AS DECIMAL(28,10))), 2) AS DOUBLE)"
 
 
 def money_avg(c: str) -> str:

@@ -8,7 +8,7 @@ from tablewright.operators import features, kpi
 from tablewright.plans import suite
 from tablewright.sources import files
 
-from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, census, money_avg, money_sum, query, rounded, sales, sql
+from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, census, money_avg, money_sum, query, rounded, sales, sql, sum2
 
 LATEST = "2000 Population"
 PROJECTED = "2020_projected_population"
@@ -33,7 +33,7 @@ def lag(spark, sf):
 
 def share(spark, sf):
     grouped = sales(spark, sf).groupBy("product").agg(
-        F.sum(F.col("total_sales").cast("decimal(18,4)")).cast("double").alias("total")
+        F.sum(F.col("total_sales").cast("decimal(28,10)")).cast("double").alias("total")
     )
     return kpi.share_over_total(grouped, "total", "share_pct")
 
@@ -93,30 +93,30 @@ QUERIES = {
 }
 
 TOP_CATEGORIES = f"""SELECT COALESCE(category, 'All Categories') AS product_category, COUNT(*) AS total_orders,
-  {rounded(money_sum('total_sales'), 2)} AS gross_revenue, {rounded('AVG(unit_price)', 2)} AS avg_unit_price,
+  {sum2('total_sales')} AS gross_revenue, {rounded('AVG(unit_price)', 2)} AS avg_unit_price,
   {rounded('AVG(discount_percent) * 100', 1)} AS avg_discount_pct
 FROM sales GROUP BY 1 ORDER BY gross_revenue DESC, 1 LIMIT 10"""
 
 MOM = f"""SELECT order_month, monthly_revenue, order_volume, prev_month_revenue,
   {rounded('(monthly_revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100', 2)} AS mom_growth_pct
 FROM (SELECT *, LAG(monthly_revenue) OVER (ORDER BY order_month) AS prev_month_revenue FROM (
-  SELECT strftime(order_date, '%Y-%m') AS order_month, {rounded(money_sum('total_sales'), 2)} AS monthly_revenue,
+  SELECT strftime(order_date, '%Y-%m') AS order_month, {sum2('total_sales')} AS monthly_revenue,
     COUNT(*) AS order_volume FROM sales WHERE order_date IS NOT NULL GROUP BY 1))"""
 
 REGION_SHARE = f"""SELECT COALESCE(region, 'Unknown') AS sales_region, COUNT(*) AS total_orders,
-  {rounded(money_sum('total_sales'), 2)} AS regional_revenue, {rounded(money_avg('total_sales'), 2)} AS avg_order_value,
-  {rounded("CAST(SUM(CAST(total_sales AS DECIMAL(18,4))) * 100 AS DOUBLE) / "
-           "CAST(SUM(SUM(CAST(total_sales AS DECIMAL(18,4)))) OVER () AS DOUBLE)", 2)} AS revenue_share_pct
+  {sum2('total_sales')} AS regional_revenue, {rounded(money_avg('total_sales'), 2)} AS avg_order_value,
+  {rounded("CAST(SUM(CAST(total_sales AS DECIMAL(28,10))) * 100 AS DOUBLE) / "
+           "CAST(SUM(SUM(CAST(total_sales AS DECIMAL(28,10)))) OVER () AS DOUBLE)", 2)} AS revenue_share_pct
 FROM sales GROUP BY 1"""
 
 CUSTOMERS = f"""SELECT customer_id, COUNT(*) AS order_frequency,
-  {rounded(money_sum('total_sales'), 2)} AS monetary_lifetime_value,
+  {sum2('total_sales')} AS monetary_lifetime_value,
   {rounded(money_avg('total_sales'), 2)} AS avg_basket_size,
-  DENSE_RANK() OVER (ORDER BY SUM(CAST(total_sales AS DECIMAL(18,4))) DESC) AS customer_rank
+  DENSE_RANK() OVER (ORDER BY SUM(CAST(total_sales AS DECIMAL(28,10))) DESC) AS customer_rank
 FROM sales WHERE customer_id IS NOT NULL GROUP BY 1 ORDER BY monetary_lifetime_value DESC, customer_rank, 1 LIMIT 15"""
 
 PAYMENT = f"""SELECT COALESCE(payment_method, 'Direct Payment') AS payment_type, COUNT(*) AS transaction_count,
-  {rounded(money_sum('total_sales'), 2)} AS total_processed_volume,
+  {sum2('total_sales')} AS total_processed_volume,
   {rounded(money_avg('total_sales'), 2)} AS avg_transaction_value,
   {rounded('AVG(customer_satisfaction)', 2)} AS avg_csat_rating
 FROM sales GROUP BY 1"""
@@ -130,7 +130,7 @@ HIGH_VALUE = """SELECT order_id, CAST(line_no AS BIGINT) AS line_no, customer_id
 FROM ranked WHERE sales_percentile >= 0.95
 ORDER BY total_sales DESC, order_id, line_no, part_id, supplier_id LIMIT 20"""
 
-BY_DIMS = f"""SELECT region, category, COUNT(*) AS row_count, {rounded(money_sum('total_sales'), 2)} AS total_total_sales,
+BY_DIMS = f"""SELECT region, category, COUNT(*) AS row_count, {sum2('total_sales')} AS total_total_sales,
   {rounded(money_avg('total_sales'), 2)} AS avg_total_sales
 FROM sales WHERE region IS NOT NULL GROUP BY 1, 2 ORDER BY total_total_sales DESC, region, category LIMIT 20"""
 
@@ -205,7 +205,7 @@ ORACLES = {
     "sql_readonly": sql(
         SALES_CTE,
         query="SELECT region, category, COUNT(*) AS orders, "
-        "CAST(ROUND(SUM(CAST(total_sales AS DECIMAL(18,4))), 2) AS DOUBLE) AS revenue FROM sales GROUP BY 1, 2",
+        "CAST(ROUND(SUM(CAST(total_sales AS DECIMAL(28,10))), 2) AS DOUBLE) AS revenue FROM sales GROUP BY 1, 2",
     ),
     "lag_growth": sql(
         SALES_CTE,
@@ -217,14 +217,14 @@ FROM sales GROUP BY 1))""",
     "share_over_total": sql(
         SALES_CTE,
         query=f"""SELECT product, {money_sum('total_sales')} AS total,
-{rounded("CAST(SUM(CAST(total_sales AS DECIMAL(18,4))) AS DOUBLE) * 100 / "
-         "CAST(SUM(SUM(CAST(total_sales AS DECIMAL(18,4)))) OVER () AS DOUBLE)", 2)} AS share_pct
+{rounded("CAST(SUM(CAST(total_sales AS DECIMAL(28,10))) AS DOUBLE) * 100 / "
+         "CAST(SUM(SUM(CAST(total_sales AS DECIMAL(28,10)))) OVER () AS DOUBLE)", 2)} AS share_pct
 FROM sales GROUP BY 1""",
     ),
     "dense_rank_over_agg": sql(
         SALES_CTE,
         query=f"""SELECT customer_id, {money_sum('total_sales')} AS total,
-DENSE_RANK() OVER (ORDER BY SUM(CAST(total_sales AS DECIMAL(18,4))) DESC) AS customer_rank FROM sales GROUP BY 1""",
+DENSE_RANK() OVER (ORDER BY SUM(CAST(total_sales AS DECIMAL(28,10))) DESC) AS customer_rank FROM sales GROUP BY 1""",
     ),
     "percent_rank_filter": sql(
         SALES_CTE, RANKED,
@@ -236,7 +236,7 @@ DENSE_RANK() OVER (ORDER BY SUM(CAST(total_sales AS DECIMAL(18,4))) DESC) AS cus
         query=f"""SELECT *, {rounded('total_metric * 100 / SUM(total_metric) OVER ()', 1)} AS share_of_total,
 RANK() OVER (ORDER BY total_metric DESC) AS cohort_rank FROM (
 SELECT COALESCE(region, 'All') AS cohort, COUNT(*) AS total_records,
-{rounded(money_sum('total_sales'), 2)} AS total_metric, {rounded(money_avg('total_sales'), 2)} AS avg_metric
+{sum2('total_sales')} AS total_metric, {rounded(money_avg('total_sales'), 2)} AS avg_metric
 FROM sales GROUP BY 1)""",
     ),
 }

@@ -50,7 +50,7 @@ def views(spark, sf):
         spark.table(n).agg(
             F.lit(n).alias("view_name"),
             F.count("*").alias("row_count"),
-            F.sum(F.col("total_sales").cast("decimal(18,4)")).cast("double").alias("total_sales"),
+            F.sum(F.col("total_sales").cast("decimal(28,10)")).cast("double").alias("total_sales"),
         )
         for n in names
     ]

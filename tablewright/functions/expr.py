@@ -19,13 +19,18 @@ def half_up(c: Column, digits: int) -> Column:
 
 def money(c: Column) -> Column:
     """Exact decimal for sums, so the result does not depend on the order of addition."""
-    return c.cast("decimal(18,4)")
+    return c.cast("decimal(28,10)")
 
 
 def money_sum(c: Column) -> Column:
     return F.sum(money(c)).cast("double")
 
 
+def rounded_sum(c: Column, digits: int = 2) -> Column:
+    """The exact sum, rounded before it becomes a double."""
+    return F.round(F.sum(money(c)), digits).cast("double")
+
+
 def money_avg(c: Column) -> Column:
     return F.try_divide(money_sum(c), F.count(c))
 

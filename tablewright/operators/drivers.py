@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
-from ..functions.expr import half_up, money_avg, money_sum
+from ..functions.expr import half_up, money_avg, rounded_sum
 
 DICTIONARY_LIMIT = 10_000
 
@@ -127,7 +127,7 @@ def _cohorts(df: DataFrame, target: str, dims: list[str]) -> DataFrame:
     return long.groupBy("position", "dimension", "value").agg(
         F.count("*").alias("sample_size"),
         half_up(F.coalesce(money_avg(F.col("__t")), F.lit(0.0)), 2).alias("avg_target"),
-        half_up(F.coalesce(money_sum(F.col("__t")), F.lit(0.0)), 2).alias("total_target"),
+        F.coalesce(rounded_sum(F.col("__t")), F.lit(0.0)).alias("total_target"),
     )
 
 
@@ -149,7 +149,7 @@ def target_overview(df: DataFrame, target: str, dims: list[str] | None = None, l
     names = [f"{r['dimension']}: {r['value']}" for r in listed]
     return df.agg(
         F.count("*").alias("total_rows"),
-        half_up(F.coalesce(money_sum(F.col(target)), F.lit(0.0)), 2).alias("total_target"),
+        F.coalesce(rounded_sum(F.col(target)), F.lit(0.0)).alias("total_target"),
         half_up(F.coalesce(money_avg(F.col(target)), F.lit(0.0)), 2).alias("avg_target"),
         F.lit(names[0] if names else None).cast("string").alias("top_cohort"),
         F.lit(names[-1] if names else None).cast("string").alias("bottom_cohort"),

@@ -260,15 +260,16 @@ def label_encode(
 
 
 def frequency_encode(
-    df: DataFrame, columns: list[str] | None = None, limit: int = 15, dictionaries: dict | None = None
+    df: DataFrame, columns: list[str] | None = None, limit: int = 15, dictionaries: dict | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Share of all rows that hold the value."""
     dictionaries = dictionaries or _encodable(df, columns, limit)
     if not dictionaries:
         return df
-    rows = max(df.count(), 1)
+    rows = max(df.count() if rows is None else rows, 1)
     added = {
-        f"{c}_freq_pct": _lookup(c, [(v, round(n / rows, 4)) for v, n in pairs], "double")
+        f"{c}_freq_pct": half_up(_lookup(c, pairs, "double") / F.lit(float(rows)), 4)
         for c, pairs in dictionaries.items()
     }
     return df.withColumns(added)
@@ -286,27 +287,29 @@ def _encodable(df: DataFrame, columns: list[str] | None, limit: int) -> dict[str
     return {c: found[c] for c in [c for c in candidates if c in found][:3]}
 
 
-def encode_all(df: DataFrame, columns: list[str] | None = None, limit: int = 15) -> DataFrame:
-    dictionaries = _encodable(df, columns, limit)
-    return frequency_encode(
-        label_encode(df, columns, limit, dictionaries), columns, limit, dictionaries
-    ) if dictionaries else df
+def long_texts(df: DataFrame) -> list[str]:
+    """The first two text columns with more than five values."""
+    candidates = roles.dimension_columns(df)
+    if not candidates:
+        return []
+    row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(candidates)]).first()
+    return [c for i, c in enumerate(candidates) if row[f"d{i}"] > 5][:2]
 
 
 def text_length(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Characters per cell, 0 for null; by default the first two text columns with over five values."""
-    if columns is None:
-        candidates = roles.dimension_columns(df)
-        if candidates:
-            row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(candidates)]).first()
-            columns = [c for i, c in enumerate(candidates) if row[f"d{i}"] > 5][:2]
-    added = {f"{c}_char_length": F.coalesce(F.char_length(c), F.lit(0)) for c in columns or []}
+    """Characters per cell, 0 for null."""
+    columns = long_texts(df) if columns is None else columns
+    added = {f"{c}_char_length": F.coalesce(F.char_length(c), F.lit(0)) for c in columns}
     return df.withColumns(added) if added else df
 
 
-def pct_of_total(df: DataFrame, value: str, out: str | None = None) -> DataFrame:
+def column_total(df: DataFrame, value: str) -> float:
+    return df.agg(F.sum(money(F.col(value))).cast("double")).first()[0] or 1.0
+
+
+def pct_of_total(df: DataFrame, value: str, out: str | None = None, total: float | None = None) -> DataFrame:
     """Share of each row in the column's sum; the sum is one aggregate, no window."""
-    total = df.agg(F.sum(money(F.col(value))).cast("double")).first()[0] or 1.0
+    total = column_total(df, value) if total is None else total
     return df.withColumn(out or f"{value}_pct_of_total", half_up(F.col(value) / F.lit(total) * 100.0, 4))
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import half_up, money, money_avg, money_sum
+from ..functions.expr import half_up, money, money_avg, money_sum, rounded_sum
 from . import order
 
 
 def _sum2(c: str) -> Column:
-    return half_up(money_sum(F.col(c)), 2)
+    return rounded_sum(F.col(c))
 
 
 def _avg2(c: str) -> Column:
@@ -196,7 +196,7 @@ def metric_by_dims(df: DataFrame, metric: str, dims: list[str], limit: int = 20)
         .groupBy(*[F.col(f"`{d}`") for d in dims])
         .agg(
             F.count("*").alias("row_count"),
-            half_up(money_sum(number), 2).alias(f"total_{name}"),
+            rounded_sum(number).alias(f"total_{name}"),
             half_up(money_avg(number), 2).alias(f"avg_{name}"),
         )
         .orderBy(F.desc(f"total_{name}"), *[F.col(f"`{d}`") for d in dims])

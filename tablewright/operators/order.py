@@ -112,16 +112,16 @@ def running_total(
     """Cumulative sum in the order of ``order_by``, which must name a unique key."""
     out = out or f"running_cumulative_{value}"
     cut = range_buckets(df, _key_list(df, order_by), buckets)
-    amount = F.coalesce(money(F.col(value)), F.lit(0).cast("decimal(18,4)"))
+    amount = F.coalesce(money(F.col(value)), F.lit(0).cast("decimal(28,10)"))
     offsets = (
         cut.df.groupBy(*cut.columns)
         .agg(F.sum(amount).alias("__sum"))
-        .select(*cut.columns, F.coalesce(F.sum("__sum").over(_earlier(cut.columns)), F.lit(0)).alias("__before"))
+        .select(*cut.columns, F.coalesce(F.sum("__sum").over(_earlier(cut.columns)), F.lit(0)).cast("decimal(36,10)").alias("__before"))
     )
     local = Window.partitionBy(*cut.columns).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     # one row per bucket: at most a few thousand rows, so the broadcast is bounded
     joined = cut.df.join(F.broadcast(offsets), cut.columns)
-    total = (F.sum(amount).over(local) + F.col("__before")).cast("double")
+    total = F.sum(amount).over(local).cast("decimal(36,10)") + F.col("__before")
     return joined.select(*df.columns, F.when(F.col(value).isNotNull(), half_up(total, digits)).alias(out))
 
 
