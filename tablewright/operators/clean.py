@@ -126,7 +126,8 @@ def fuzzy_standardize(
     """Alias, else the closest canonical label at or above the cutoff, else title case.
 
     Values that an alias settles never reach Python. The others are scored once per
-    distinct value and joined back; Spark broadcasts that table only if it is small.
+    distinct value and joined back; Spark broadcasts that table only if it is small. Rows
+    that need no match get spread keys, so that a merge join has no pile of null keys.
     """
     kind = kind or _kind(column)
     labels = labels or fixed.CANONICAL[kind]
@@ -134,13 +135,14 @@ def fuzzy_standardize(
     known = df.withColumn("__alias", _alias(F.col(column), aliases))
     open_value = F.when(F.col("__alias").isNull(), F.col(column))
     scores = fuzzy_scores(known.select(open_value.alias(column)), column, labels)
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
     chosen = scores.select(
         F.col("value").alias("__value"),
         F.when(F.col("score") >= cutoff, F.col("label"))
         .otherwise(expr.title_case(expr.trim_all(F.col("value"))))
         .alias("__chosen"),
     )
-    joined = known.withColumn("__open", open_value).join(chosen, F.col("__open") == F.col("__value"), "left")
+    joined = known.withColumn("__open", F.coalesce(open_value, spread)).join(chosen, F.col("__open") == F.col("__value"), "left")
     settled = F.coalesce(F.col("__alias"), F.col("__chosen"))
     return joined.select(*[settled.alias(c) if c == column else F.col(c) for c in df.columns])
 
