@@ -116,3 +116,14 @@ def tier(c: Column, steps: list[tuple[float, str]], rest: str) -> Column:
     for limit, name in steps:
         label = F.when(c >= limit, name) if label is None else label.when(c >= limit, name)
     return label.otherwise(rest)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson r over the rows where both are present; 0 when one does not vary.
+
+    The built-in ``corr`` divides by zero for a constant, which is an error in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    varies = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (F.min(F.when(both, y)) < F.max(F.when(both, y)))
+    return F.coalesce(F.when(varies, F.nanvl(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))), F.lit(0.0))

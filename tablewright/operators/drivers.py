@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
-from ..functions.expr import half_up, money_avg, rounded_sum
+from ..functions.expr import correlation, half_up, money_avg, rounded_sum
 
 DICTIONARY_LIMIT = 10_000
 
@@ -97,12 +97,9 @@ def driver_importance(
 
 
 def _directions(coded: DataFrame, target: str, features: list[str]) -> DataFrame:
-    cells = []
-    for c in features:
-        varies = (F.min(c) < F.max(c)) & (F.min(target) < F.max(target))
-        cells.append(
-            F.struct(F.lit(c).alias("feature"), F.when(varies, F.corr(c, target)).otherwise(0.0).alias("r"))
-        )
+    cells = [
+        F.struct(F.lit(c).alias("feature"), correlation(F.col(c), F.col(target)).alias("r")) for c in features
+    ]
     r = F.col("r")
     return coded.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).select(
         "feature",

@@ -52,9 +52,11 @@ def _bracketed(known: DataFrame, keys: list[str], probs: list[float], accuracy:
     )
     v = F.col("__v")
     bounds: list[tuple[Column, Column]] = []
+    # in a key with few rows the slack may be less than one row: its bracket is its range
+    few = F.col("__rows") < 10 * accuracy
     for i, p in enumerate(probs):
-        low = F.col("__lo") if p - slack <= 0 else F.col("__ends")[2 * i]
-        high = F.col("__hi") if p + slack >= 1 else F.col("__ends")[2 * i + 1]
+        low = F.col("__lo") if p - slack <= 0 else F.when(few, F.col("__lo")).otherwise(F.col("__ends")[2 * i])
+        high = F.col("__hi") if p + slack >= 1 else F.when(few, F.col("__hi")).otherwise(F.col("__ends")[2 * i + 1])
         bounds.append((low, high))
     inside, passed = F.lit(False), F.lit(0)
     for low, high in bounds:

@@ -66,6 +66,9 @@ OPERATORS = {
     "overview": lambda d: drivers.target_overview(d, "total_sales"),
     "dim_date": lambda d: star.dim_date(d, "order_date"),
     "dim": lambda d: star.dim_category(d, "category", small=0),
+    "fit": lambda d: charts.linear_fit(d, "quantity", "total_sales"),
+    "matrix": lambda d: charts.corr_matrix(d, ["quantity", "total_sales"]),
+    "direction": lambda d: drivers.driver_direction(d, "total_sales", ["category", "quantity"]),
     "yoy": lambda d: star.measure_yoy_growth(d, "order_date", "total_sales"),
     "totals": lambda d: star.measure_totals(d, "total_sales"),
 }
