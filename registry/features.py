@@ -8,7 +8,7 @@ from tablewright.operators import features
 from tablewright.plans import featuring
 from tablewright.session import materialize
 
-from .inputs import CENSUS_CTE, CENSUS_YEARS, ORDER_KEY, SALES_CTE, census, query, rounded, sales, sql, table
+from .inputs import CENSUS_CTE, CENSUS_YEARS, ORDER_KEY, SALES_CTE, census, query, rounded, sales, spread_table, sql, table
 
 KEY = "order_id, CAST(line_no AS BIGINT) AS line_no, part_id, supplier_id"
 PLACE = '"Country/Territory", "Continent"'
@@ -59,7 +59,7 @@ SCALED = ["quantity", "unit_price", "total_sales"]
 
 def full(s, d):
     """The full run; like any later step it reads its table from files."""
-    t, _ = materialize(sales(s, d), "sales")
+    t, _ = materialize(sales(s, d, spread_table), "sales")
     return featuring.feature_pipeline(t, "full", ORDER_KEY)
 
 
@@ -106,7 +106,7 @@ QUERIES = {
     "frequency_encode": query(
         lambda s, d: features.frequency_encode(_sales(s, d, "customer_segment", "region", "category"))
     ),
-    "text_length": query(lambda s, d: features.text_length(table(s, d, "documents").select("doc_id", "text", "source"))),
+    "text_length": query(lambda s, d: features.text_length(spread_table(s, d, "documents").select("doc_id", "text", "source"))),
     "feature_pipeline": query(lambda s, d: full(s, d).table),
     "feature_pipeline_minimal": query(
         lambda s, d: featuring.feature_pipeline(_census(s, d), "minimal", target_year=2042).table

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.sources.files import spread
+
 ORDER_KEY = ["order_id", "line_no", "part_id", "supplier_id"]
 
 
@@ -20,21 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For queries with much work per row: a file with one row group would keep one core busy."""
+    return spread(table(spark, sf_dir, name))
+
+
+def sales(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """lineitem with its order, customer, country and part; equi-joins on keys only.
 
-    Small tables are broadcast by Spark's size threshold, large ones are merge-joined;
-    no hint is given, so the plan follows the data.
+    Every right side is a plain table, so Spark knows its size: small ones are broadcast
+    below the size threshold, large ones are merge-joined. No hint is given.
     """
-    places = (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
     joined = (
-        table(spark, sf_dir, "lineitem")
+        read(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     amount = F.col("l_extendedprice").cast("decimal(18,2)") * (
@@ -184,7 +188,7 @@ def _dirty_sql(engine: str, source: str) -> str:
 
 
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_dirty_sql("spark", "{source}"), source=sales(spark, sf_dir))
+    return spark.sql(_dirty_sql("spark", "{source}"), source=sales(spark, sf_dir, spread_table))
 
 
 DIRTY_CTE = f"dirty AS ({_dirty_sql('duckdb', 'sales')})"

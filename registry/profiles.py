@@ -9,7 +9,7 @@ from tablewright.operators import profile
 from tablewright.sources import files
 
 from .cleaning import HEADED_CTE, NAMES, headed
-from .inputs import DIRTY_CTE, SALES_CTE, query, rounded, sales, sql, table
+from .inputs import DIRTY_CTE, SALES_CTE, query, rounded, sales, spread_table, sql, table
 
 SALES_TYPES = {
     "order_id": "bigint", "line_no": "int", "part_id": "bigint", "supplier_id": "bigint", "order_date": "date",
@@ -49,7 +49,7 @@ def viewed(s, d):
 
 
 def approx(s, d):
-    return profile.inspect_columns(sales(s, d), order_by=["order_id", "line_no"]).drop("sample_values")
+    return profile.inspect_columns(sales(s, d, spread_table), order_by=["order_id", "line_no"]).drop("sample_values")
 
 
 QUERIES = {
@@ -57,11 +57,11 @@ QUERIES = {
     "inspect_columns_approx": query(approx),
     "inspect_view": query(viewed),
     "profile_light": query(lambda s, d: profile.profile_light(holed_events(s, d))),
-    "profile_role": query(lambda s, d: profile.profile_role(sales(s, d))),
+    "profile_role": query(lambda s, d: profile.profile_role(sales(s, d, spread_table))),
     "profile_full": query(lambda s, d: profile.profile_full(table(s, d, "customer"))),
     "profile_full_nulls": query(lambda s, d: profile.profile_full(holed_events(s, d))),
     "profile_top_categories": query(
-        lambda s, d: profile.profile_top_categories(table(s, d, "documents"), ["text", "lang", "source"])
+        lambda s, d: profile.profile_top_categories(spread_table(s, d, "documents"), ["text", "lang", "source"])
     ),
     "profile_outlier_count": query(
         lambda s, d: profile.profile_outlier_count(sales(s, d), ["quantity", "unit_price", "total_sales"])

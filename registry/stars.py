@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed
 from tablewright.operators import checks, star
 
-from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, money_sum, query, rounded, sales, sql, sum2, table
+from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, money_sum, query, rounded, sales, spread_table, sql, sum2, table
 from .kpis import GROWTH_CTE, LATEST, PROJECTED, projected_census
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -63,10 +63,10 @@ QUERIES = {
         lambda s, d: star.matrix_two_dims(sales(s, d), "category", "region", "total_sales", wide=True)
     ),
     "banned_vocabulary_scan": query(
-        lambda s, d: checks.banned_vocabulary_scan(table(s, d, "documents"), "documents", ["text"])
+        lambda s, d: checks.banned_vocabulary_scan(spread_table(s, d, "documents"), "documents", ["text"])
     ),
     "banned_vocabulary_turns": query(
-        lambda s, d: checks.banned_vocabulary_scan(table(s, d, "conversations"), "conversations", ["role", "text"])
+        lambda s, d: checks.banned_vocabulary_scan(spread_table(s, d, "conversations"), "conversations", ["role", "text"])
     ),
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import stats
 
-from .inputs import SALES_CTE, query, rounded, sales, sql, table
+from .inputs import SALES_CTE, query, rounded, sales, spread_table, sql, table
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TEXTS = ["text", "lang", "source"]
@@ -16,13 +16,13 @@ HOLED = ["event_id", "value", "user_id"]
 
 
 def lines(s, d):
-    return table(s, d, "lineitem").select(*LINE)
+    return spread_table(s, d, "lineitem").select(*LINE)
 
 
 def shaped(s, d):
     """Columns of different shape: uniform, right skewed, with many zeros, left skewed."""
     v = F.col("l_extendedprice")
-    return table(s, d, "lineitem").select(
+    return spread_table(s, d, "lineitem").select(
         "l_quantity", "l_extendedprice",
         (v * v * v / 1e12 * (v * v * v / 1e12)).alias("steep"),
         F.when(F.col("l_linenumber") > 3, 0.0).otherwise(F.col("l_quantity")).alias("many_zeros"),

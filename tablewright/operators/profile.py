@@ -73,9 +73,32 @@ def inspect_view(
     return inspect_columns(spark.table(view), approx_distinct, order_by=order_by)
 
 
-def _distinct_with_null(c: str) -> Column:
-    """Null counts as one value."""
-    return F.count_distinct(_cell(c)) + F.max(_cell(c).isNull().cast("int"))
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, unique_count) of every column; null counts as one value.
+
+    One narrow shuffle of (column, value). Many ``count_distinct`` in one aggregate would
+    shuffle every column once per column.
+    """
+    columns = columns or df.columns
+    kinds = {f.name: f.dataType for f in df.schema}
+    # adding zero makes -0.0 and 0.0 one value, as they are equal
+    plain = [
+        (_cell(c) + 0.0 if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else _cell(c)).cast("string").alias(c)
+        for c in columns
+    ]
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (i, c)])
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("position"), plain[i].alias("value")) for i in range(len(columns))]
+    )
+    seen = df.select(F.inline(cells)).distinct().groupBy("position").agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("position"))
+    return every.join(seen, "position", "left").select(
+        names[F.col("position")].alias("column_name"), F.coalesce("n", F.lit(0)).alias("unique_count")
+    )
+
+
+def _with_distinct(rows: DataFrame, df: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(distinct_counts(df)), "column_name")  # one row per column
 
 
 def profile_light(df: DataFrame) -> DataFrame:
@@ -92,7 +115,6 @@ def profile_light(df: DataFrame) -> DataFrame:
         columns,
         {
             "total_rows": lambda c: F.count("*"),
-            "cardinality": lambda c: F.coalesce(_distinct_with_null(c), F.lit(0)),
             "null_pct": lambda c: F.coalesce(
                 half_up(F.try_divide((F.count("*") - F.count(_cell(c))) * 100.0, F.count("*")), 2), F.lit(0.0)
             ),
@@ -105,10 +127,10 @@ def profile_light(df: DataFrame) -> DataFrame:
         "is_temporal": {c: int(c in dates) for c in columns},
         "is_categorical": {c: int(isinstance(by[c], T.StringType)) for c in columns},
     }
-    return rows.select(
+    return _with_distinct(rows, df).select(
         "column_name",
         _static(columns, {c: by[c].simpleString() for c in columns}, "string").alias("dtype"),
-        "total_rows", "cardinality", "null_pct",
+        "total_rows", F.col("unique_count").alias("cardinality"), "null_pct",
         *[_static(columns, v, "int").alias(n) for n, v in flags.items()],
         "min_val", "max_val",
     )
@@ -135,7 +157,7 @@ def _with_role(rows: DataFrame, df: DataFrame) -> DataFrame:
 
 def profile_role(df: DataFrame) -> DataFrame:
     """Identifier, date, numerical, boolean, categorical (under 50 values) or text."""
-    rows = _rows_from_wide(df, df.columns, {"unique_count": lambda c: F.coalesce(_distinct_with_null(c), F.lit(0))})
+    rows = distinct_counts(df)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return _with_role(rows, df).select(
         "column_name", _static(df.columns, types, "string").alias("data_type"), "unique_count", "role"
@@ -236,7 +258,6 @@ def profile_full(df: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
         {
             "non_null_count": lambda c: F.count(_cell(c)),
             "missing_count": lambda c: F.count("*") - F.count(_cell(c)),
-            "unique_count": lambda c: F.coalesce(_distinct_with_null(c), F.lit(0)),
             "min_val": numeric(F.min),
             "max_val": numeric(F.max),
             "mean_val": numeric(F.avg),
@@ -250,7 +271,7 @@ def profile_full(df: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
         },
     )
     total = F.lit(float(max(rows_total, 1)))
-    out = _with_role(wide, df).select(
+    out = _with_role(_with_distinct(wide, df), df).select(
         "*",
         half_up(F.col("missing_count") * 100.0 / total, 2).alias("missing_pct"),
         F.when(

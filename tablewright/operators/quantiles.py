@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 5_000_000
+EXACT_LIMIT = 200_000
 
 
 def _accuracy(rows: int) -> int:

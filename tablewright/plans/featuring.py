@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
 from ..operators import features
-from ..operators.profile import _cell, _rows_from_wide
+from ..operators.profile import _cell, _rows_from_wide, distinct_counts
 from ..functions.expr import half_up
 
 
@@ -39,9 +39,13 @@ def feature_catalog(df: DataFrame, formulas: dict[str, tuple[str, str]]) -> Data
             "missing_pct": lambda c: half_up(
                 F.try_divide((F.count("*") - F.count(_cell(c))) * 100.0, F.count("*")), 2
             ),
-            "unique_count": lambda c: F.count_distinct(_cell(c)),
+            "has_null": lambda c: F.max(_cell(c).isNull().cast("int")),
         },
     )
+    sizes = distinct_counts(df, names)
+    rows = rows.join(F.broadcast(sizes), "column_name").withColumn(  # one row per feature
+        "unique_count", F.col("unique_count") - F.coalesce("has_null", F.lit(0))
+    )
     text = {i: F.create_map(*[F.lit(x) for c in names for x in (c, formulas[c][i])]) for i in (0, 1)}
     kinds = F.create_map(*[F.lit(x) for c in names for x in (c, by[c])])
     name = F.col("column_name")
