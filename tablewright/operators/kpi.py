@@ -173,8 +173,11 @@ def high_value_orders(
     above and at it is enough to rank the list; nothing is shuffled but the top rows.
     """
     key = key or ["order_id"]
-    best = df.where(F.col(sales).isNotNull()).orderBy(F.desc(sales), *key).limit(limit)
-    edge = best.agg(F.min(sales)).first()[0]
+    top = df.where(F.col(sales).isNotNull()).orderBy(F.desc(sales), *key).limit(limit)
+    # `limit` rows: held as a local table, so that the input is read twice and not four times
+    listed = top.collect()
+    best = df.sparkSession.createDataFrame(listed, top.schema)
+    edge = min((r[sales] for r in listed), default=None)
     if edge is None:
         return best.withColumn("sales_percentile", F.lit(None).cast("double"))
     seen = df.agg(
