@@ -41,7 +41,7 @@ def share(spark, sf):
 def high_value(spark, sf):
     rows = kpi.high_value_orders(sales(spark, sf), key=ORDER_KEY)
     return rows.select("order_id", "line_no", "customer_id", "order_date", "category", "region", "total_sales",
-                       "quantity", F.round("unit_price", 4).alias("unit_price"), "sales_percentile")
+                       "quantity", "unit_price", "sales_percentile")
 
 
 def percent_rank(spark, sf):
@@ -126,7 +126,7 @@ FROM sales)"""
 
 HIGH_VALUE = """SELECT order_id, CAST(line_no AS BIGINT) AS line_no, customer_id,
   strftime(order_date, '%Y-%m-%d') AS order_date, category, region, total_sales, quantity,
-  ROUND(unit_price, 4) AS unit_price, sales_percentile
+  unit_price, sales_percentile
 FROM ranked WHERE sales_percentile >= 0.95
 ORDER BY total_sales DESC, order_id, line_no, part_id, supplier_id LIMIT 20"""
 

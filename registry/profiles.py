@@ -89,11 +89,16 @@ def _distinct(c: str) -> str:
     return f"(COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))"
 
 
+def _stamp(f: str, c: str) -> str:
+    """Time stamp text without trailing zeros of the fraction."""
+    return f"regexp_replace(strftime({f}({c}), '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '')"
+
+
 def _light(source: str, types: dict) -> str:
     parts = []
     for c, t in types.items():
         number, date, text = int(t in ("bigint", "int", "double")), int(t in ("date", "timestamp_ntz")), int(t == "string")
-        low, high = (f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S.%f')" if date else "CAST(NULL AS VARCHAR)" for f in ("MIN", "MAX"))
+        low, high = (_stamp(f, c) if date else "CAST(NULL AS VARCHAR)" for f in ("MIN", "MAX"))
         parts.append(
             f"SELECT '{c}' AS column_name, '{t}' AS dtype, COUNT(*) AS total_rows, {_distinct(c)} AS cardinality, "
             f"CAST(ROUND((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 2) AS DOUBLE) AS null_pct, "
@@ -144,7 +149,7 @@ def _full(source: str, types: dict) -> str:
             f"{rounded(f'STDDEV_SAMP({c})', 2) if number else none} AS std_val, "
             f"{rounded(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 2) if number else none} AS median_val, "
             + ", ".join(
-                (f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S.%f')" if date else text) + f" AS {n}"
+                (_stamp(f, c) if date else text) + f" AS {n}"
                 for f, n in (("MIN", "min_date"), ("MAX", "max_date"))
             )
             + f", {_outliers(source, c) if number else 'CAST(0 AS BIGINT)'} AS outlier_count, "
