@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "quality"]
+MODULES = ["substring", "mixing", "lpf", "quality"]
 
 
 def _merged(name: str) -> dict:
