@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "mixing", "lpf", "quality"]
+MODULES = ["substring", "mixing", "lpf", "quality", "simhash"]
 
 
 def _merged(name: str) -> dict:
