@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "pieces", "mixing", "lpf", "quality", "simhash"]
+MODULES = ["substring", "pieces", "warc", "mixing", "lpf", "quality", "simhash"]
 
 
 def _merged(name: str) -> dict:
