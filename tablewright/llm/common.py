@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: a word, as the contracts of the queries define it
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +47,22 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in used:
         name = "_" + name
     return name
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with ``name``, their number from 0 in the given order.
+
+    Rows are dealt over sorted ranges; a row's number is its place in the range plus the rows of
+    the ranges before, so no task holds more than a range. Rows that are equal in the order are
+    numbered as they come.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )  # one row per partition
+    inside = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "__part").withColumn(
+        name, (F.col("__start") + F.col("__row") - 1).cast("long")
+    ).drop("__part", "__row", "__start")

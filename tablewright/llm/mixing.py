@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WORD, fresh, stored, table
+from tablewright.llm.common import WORD, fresh, numbered, stored, table
 
 #: hex digits of the digest that make the uniform number; 52 bits fit a double exactly
 DIGITS = 13
@@ -36,28 +36,6 @@ def source_sizes(sized: DataFrame, source: str, size: str) -> DataFrame:
     return sized.groupBy(F.col(source).alias("__source")).agg(F.sum(size).alias("__size"))
 
 
-def ranked(sources: DataFrame) -> DataFrame:
-    """Adds __rank from 0, by code point of the source with null last.
-
-    Spark compares strings by their UTF-8 bytes, which is the order of code points. Sources
-    are dealt over sorted ranges; ranks are the place in the range plus the rows of the ranges
-    before, so that no task holds more than its range.
-    """
-    null = F.col("__source").isNull()
-    n = max(1, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = stored(
-        sources.repartitionByRange(n, null, "__source").withColumn("__part", F.spark_partition_id()), "sources"
-    )
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select(
-        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
-    )  # one row per partition
-    inside = Window.partitionBy("__part").orderBy(null, "__source")
-    return dealt.withColumn("__row", F.row_number().over(inside)).join(F.broadcast(starts), "__part").select(
-        "__source", "__size", (F.col("__start") + F.col("__row") - 1).alias("__rank")
-    )
-
-
 def targets(sources: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """Adds __target: the whole size shared by weight, stopped at ``most`` times the source's size.
 
@@ -65,9 +43,10 @@ def targets(sources: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float
     others by weight. Each round is one aggregate over the sources that returns four numbers.
     """
     cycle = F.array(*[F.lit(int(w)) for w in weights])
+    # Spark compares strings by their UTF-8 bytes, which is the order of code points
+    ranked = numbered(sources, [F.col("__source").isNull(), F.col("__source")], "__rank")
     weighed = stored(
-        ranked(sources).withColumn("__weight", F.element_at(cycle, (F.col("__rank") % len(weights) + 1).cast("int"))),
-        "weights",
+        ranked.withColumn("__weight", F.element_at(cycle, (F.col("__rank") % len(weights) + 1).cast("int"))), "weights"
     )
     stop = F.lit(float(most)) * F.col("__size")
     level, before = 0.0, -1
