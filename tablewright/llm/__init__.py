@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "pieces", "chat", "warc", "mixing", "lpf", "quality", "simhash"]
+MODULES = ["substring", "pieces", "chat", "warc", "mixing", "lpf", "quality", "permutation", "simhash"]
 
 
 def _merged(name: str) -> dict:
