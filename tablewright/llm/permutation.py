@@ -1,6 +1,6 @@
 """Nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by the order of its nearest
+Pivots are the most spread vectors of a bounded sample (``SAMPLE`` by hash). A vector is represented by the order of its nearest
 pivots and posted in the inverted files of the first ``POSTED`` of them. A query reads the files
 of its own first pivots, ranks what it finds by the footrule distance of the two orders (the
 sum of the differences of all pivots' places), and computes the cosine of the best share.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored, table
 
-#: sample of pivots; files a vector is posted in; share of the candidates that is reranked, and least number
-PIVOTS, POSTED, SHARE, LEAST = 64, 10, 0.25, 200
+#: vectors of which pivots are chosen; pivots; files a vector is posted in; share of the candidates that is reranked, and least number
+SAMPLE, PIVOTS, POSTED, SHARE, LEAST = 2048, 64, 10, 0.25, 200
 SHARD = 8192
 
 
@@ -33,6 +33,16 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` unit vectors, each the farthest from those before, so a crowd of near copies gives one."""
+    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
+    chosen, nearness = [0], unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(np.argmin(nearness)))
+        nearness = np.maximum(nearness, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
 def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The place of every pivot in each vector's order of nearness."""
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
@@ -113,12 +123,11 @@ def nearest(
         ranked.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0]),
         "entries",
     )
-    sample = entries.select("first", "vector").orderBy(F.xxhash64("first"), "first").limit(pivots).collect()
+    sample = entries.select("first", "vector").orderBy(F.xxhash64("first"), "first").limit(max(SAMPLE, pivots)).collect()
     if not sample:
         return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = len(sample[0]["vector"])
-    matrix = np.array([r["vector"] for r in sample if len(r["vector"]) == size], np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    matrix = spread_pivots(np.array([r["vector"] for r in sample if len(r["vector"]) == size], np.float64), pivots)
     kinds = stored(
         asked.where(F.size("vector") == size).groupBy("vector").agg(F.min("id").alias("query")), "queries"
     )
