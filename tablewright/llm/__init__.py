@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["substring", "pieces", "chat", "warc", "mixing", "lpf", "quality", "permutation", "simhash"]
+MODULES = [
+    "substring", "pieces", "chat", "warc", "mixing", "lpf", "packing", "quality", "permutation", "simhash",
+]
 
 
 def _merged(name: str) -> dict:
