@@ -29,7 +29,7 @@ U = np.uint64
 TOKEN = re.compile(rb" ?[^ \n]+|[ \n]")
 #: longer tokens are cut into lattices of their own, at characters
 LONGEST = 256
-#: edges of lattices a task keeps before it starts anew (20 bytes each)
+#: edges of lattices a task keeps before it starts anew (some 16 bytes each)
 KEPT_EDGES = 4_000_000
 SPACE_SIGN = "▁"
 
@@ -40,6 +40,45 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+SLOTS = 1 << 20
+
+
+def _hashes(strings: list[bytes]) -> np.ndarray:
+    """The hashes that ``span_hash`` gives these strings."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    begin = np.cumsum(sizes) - sizes
+    return tokens.span_hash(tokens.prefix_hash(tokens.byte_values(b"".join(strings))), begin, begin + sizes)
+
+
+class _Flags:
+    """A set of hashes that may hold a few more than were put in."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.mask = U((1 << max(10, (8 * len(hashes)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[(hashes & self.mask).astype(np.int64)] = True
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[(hashes & self.mask).astype(np.int64)]
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.room = np.empty(1 << 12, kind)
+        self.size = 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            room = np.empty(max(end, 3 * len(self.room) // 2), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = more
+        self.size = end
+
+
 class Vocabulary:
     """Pieces of a model as bytes, their log weights and the ids of the byte pieces."""
 
@@ -51,7 +90,7 @@ class Vocabulary:
         self.spelled = [b""] * n
         self.bytes = np.zeros(256, np.int64)
         known: dict[int, tuple[int, float, int]] = {}
-        lengths = set()
+        heads: dict[int, set[bytes]] = {}
         for i in range(n):
             piece = m.id_to_piece(i)
             if m.is_byte(i):
@@ -62,25 +101,31 @@ class Vocabulary:
                 self.spelled[i] = piece.replace(SPACE_SIGN, " ").encode()
                 if SPACE_SIGN not in piece[1:] and "\n" not in piece and " " not in piece:
                     data = self.spelled[i]
-                    key = tokens.prefix_hash(tokens.byte_values(data))
-                    value = int(tokens.span_hash(key, np.array([0]), np.array([len(data)]))[0])
-                    known[value] = (i, -power * float(np.log1p(abs(m.get_score(i)))), len(data))
-                    lengths.add(len(data))
-        self.lengths = sorted(lengths)
+                    known[int(_hashes([data])[0])] = (i, -power * float(np.log1p(abs(m.get_score(i)))), len(data))
+                    for end in range(1, len(data)):
+                        heads.setdefault(end, set()).add(data[:end])
+        self.longest = max(k[2] for k in known.values())
+        # by length, what some longer piece begins with: a place is looked up no further than that
+        self.heads = {k: _Flags(_hashes(list(v))) for k, v in heads.items()}
         keys = np.array(sorted(known), U)
         self.keys = keys
         self.ids = np.array([known[int(k)][0] for k in keys])
         self.weights = np.array([known[int(k)][1] for k in keys])
         self.byte_weight = -power * float(np.log1p(n))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(keys & U((1 << 20) - 1)).astype(np.int64)] = True
+        # the place of a key by its low bits; keys that share them are looked up in order
+        slots = (keys & U(SLOTS - 1)).astype(np.int64)
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.slot[slots] = np.arange(len(keys))
+        self.slot[np.flatnonzero(np.bincount(slots, minlength=SLOTS) > 1)] = -2
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are pieces, and their places in ids and weights."""
-        maybe = np.flatnonzero(self.seen[(hashes & U((1 << 20) - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
-        right = self.keys[place] == hashes[maybe]
-        return maybe[right], place[right]
+        place = self.slot[(hashes & U(SLOTS - 1)).astype(np.int64)]
+        shared = np.flatnonzero(place == -2)
+        place[shared] = np.minimum(np.searchsorted(self.keys, hashes[shared]), len(self.keys) - 1)
+        hit = np.flatnonzero(place >= 0)
+        hit = hit[self.keys[place[hit]] == hashes[hit]]
+        return hit, place[hit]
 
 
 @lru_cache(2)
@@ -97,13 +142,13 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.first = np.empty(0, np.int64)  # state before the token
-        self.last = np.empty(0, np.int64)  # state after it
+        self.first = Grown(np.int32)  # of a token, the state before it
+        self.last = Grown(np.int32)  # and the state after it
         self.states = 0
-        self.edge = np.empty(0, np.int32)  # of a state, its first edge back
-        self.share = np.empty(0, np.int64)  # running chance of the edges of a state, in 2^-32
-        self.back = np.empty(0, np.int32)
-        self.piece = np.empty(0, np.int32)
+        self.edge = Grown(np.int32)  # of a state, its first edge back
+        self.share = Grown(np.uint32)  # of an edge, the largest draw that takes it, among those of its state
+        self.back = Grown(np.int32)
+        self.piece = Grown(np.int32)
 
     def add(self, new: list[bytes]) -> None:
         sizes = np.fromiter(map(len, new), np.int64, len(new))
@@ -120,17 +165,20 @@ class Lattices:
         single = np.zeros(len(data), bool)
         char_end = np.zeros(len(data), np.int64)
         char_end[chars] = next_char
-        for length in self.vocab.lengths:
-            at = chars[chars + length <= end_of[chars]]
+        at = chars
+        for length in range(1, self.vocab.longest + 1):
+            at = at[at + length <= end_of[at]]
             if not len(at):
                 break
-            hit, place = self.vocab.find(tokens.span_hash(prefix, at, at + length))
-            at = at[hit]
-            single[at[char_end[at] == at + length]] = True
-            start.append(at)
-            stop.append(at + length)
+            hashes = tokens.span_hash(prefix, at, at + length)
+            hit, place = self.vocab.find(hashes)
+            found = at[hit]
+            single[found[char_end[found] == found + length]] = True
+            start.append(found)
+            stop.append(found + length)
             piece.append(self.vocab.ids[place])
             weight.append(self.vocab.weights[place])
+            at = at[self.vocab.heads[length].has(hashes)] if length in self.vocab.heads else at[:0]
         spelled = np.flatnonzero(~single[chars])  # characters that are no piece, byte by byte
         width = (next_char - chars)[spelled]
         step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
@@ -142,7 +190,7 @@ class Lattices:
         start, stop, piece, weight = map(np.concatenate, (start, stop, piece, weight))
         own = owner[start]
         offset = stop - begin[own]
-        order = np.argsort((((offset << 40) | stop) << 9) | (stop - start))
+        order = _sorted((((offset << 22) | stop) << 9) | (stop - start))
         start, stop, piece, weight, own, offset = (x[order] for x in (start, stop, piece, weight, own, offset))
         source, target = start + own, stop + own  # a state more than bytes for each token
         total = np.zeros(len(data) + len(new))
@@ -151,61 +199,68 @@ class Lattices:
             total[target[lo:hi][heads]] = np.logaddexp.reduceat(total[source[lo:hi]] + weight[lo:hi], heads)
         chance = np.exp(total[source] + weight - total[target])
         # edges of a state stand together, the likeliest first
-        order = np.argsort((target << 40) | (((1.0 - chance) * 2.0**30).astype(np.int64) << 9) | (target - source))
+        order = _sorted((((target << 12) | ((1.0 - np.minimum(chance, 1.0)) * 4095.0).astype(np.int64)) << 9) | (target - source))
         source, target, piece, chance = (x[order] for x in (source, target, piece, chance))
         heads, ends = _groups(target)
         running = np.cumsum(chance)
         running -= np.repeat(running[heads] - chance[heads], ends - heads)
-        share = np.minimum((running * 2.0**32).astype(np.int64), 1 << 32)
-        share[ends - 1] = 1 << 32
-        base = self.states
+        share = np.clip(running * 2.0**32, 1.0, 2.0**32) - 1
+        share[ends - 1] = 2.0**32 - 1
         edge = np.zeros(len(data) + len(new), np.int32)
-        edge[target[heads]] = heads + len(self.share)
-        self.edge = np.concatenate((self.edge, edge))
-        self.share = np.concatenate((self.share, share))
-        self.back = np.concatenate((self.back, (source + base).astype(np.int32)))
-        self.piece = np.concatenate((self.piece, piece.astype(np.int32)))
-        first = begin + np.arange(len(new)) + base
-        for k, token in enumerate(new, len(self.known)):
-            self.known[token] = k
-        self.first = np.concatenate((self.first, first))
-        self.last = np.concatenate((self.last, first + sizes))
+        edge[target[heads]] = heads + self.share.size
+        first = begin + np.arange(len(new)) + self.states
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.edge.add(edge)
+        self.share.add(share.astype(np.uint32))
+        self.back.add(source + self.states)
+        self.piece.add(piece)
+        self.first.add(first)
+        self.last.add(first + sizes)
         self.states += len(data) + len(new)
 
     def sample(self, found: list[bytes], seeds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all tokens, in order, and the number of pieces of each."""
-        if len(self.share) > KEPT_EDGES:
+        if self.share.size > KEPT_EDGES:
             self.clear()
         new = list(set(found).difference(self.known))
-        for at in range(0, len(new), 1 << 15):
-            self.add(new[at : at + (1 << 15)])
-        kinds = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        state, goal = self.last[kinds], self.first[kinds]
-        who = np.arange(len(found))
+        for at in range(0, len(new), 1 << 13):
+            self.add(new[at : at + (1 << 13)])
+        kinds = np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
+        state, goal = self.last.room[kinds], self.first.room[kinds]
+        first_edge, share, back, piece = self.edge.room, self.share.room, self.back.room, self.piece.room
+        who = np.arange(len(found), dtype=np.int32)
         counts = np.zeros(len(found), np.int64)
         seed = seeds + numbers.astype(U) * U(0xA0761D6478BD642F)
         drawn = []
         step = 0
         while len(who):
-            u = (tokens.mixed(seed[who] + U(step * 0xE7037ED1A0B428DB % (1 << 64))) >> U(32)).astype(np.int64)
-            edge = self.edge[state]
-            short = np.flatnonzero(self.share[edge] <= u)
+            u = (tokens.mixed(seed[who] + U(step * 0xE7037ED1A0B428DB % (1 << 64))) >> U(32)).astype(np.uint32)
+            edge = first_edge[state]
+            short = np.flatnonzero(share[edge] < u)
             while len(short):
                 edge[short] += 1
-                short = short[self.share[edge[short]] <= u[short]]
-            drawn.append((who, self.piece[edge]))
+                short = short[share[edge[short]] < u[short]]
+            drawn.append((who, piece[edge]))
             counts[who] += 1
-            state = self.back[edge]
+            state = back[edge]
             go = state != goal[who]
             who, state = who[go], state[go]
             step += 1
         out = np.empty(int(counts.sum()), np.int32)
         ends = np.cumsum(counts)
-        for back, (who, piece) in enumerate(drawn):
-            out[ends[who] - 1 - back] = piece
+        for before, (who, one) in enumerate(drawn):
+            out[ends[who] - 1 - before] = one
         return out, counts
 
 
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """The order of different keys below 2^51, of up to 2^22."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if int(keys.max(initial=0)) >> (63 - bits):
+        return np.argsort(keys)
+    return np.sort((keys << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of stretches of equal neighbours."""
     heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
@@ -231,13 +286,15 @@ def lattice_tokens(text: bytes) -> list[bytes]:
 _LATTICES: dict[tuple[int, float], Lattices] = {}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model, power: float, seed: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _encode(
+    batches: Iterator[pa.RecordBatch], model, power: float, seed: int, verify: bool, names: list[str]
+) -> Iterator[pa.RecordBatch]:
     """The row's own columns and its pieces; columns are text, key and own ones."""
     vocab = vocabulary(model.value, power)
     lattices = _LATTICES.setdefault((id(vocab), power), Lattices(vocab))
     for batch in batches:
         keys = tokens.mixed(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(U) + U(seed))
-        for first, texts in tokens.blocks(batch.column(0)):
+        for first, texts in tokens.blocks(batch.column(0), 1 << 20):
             each = [lattice_tokens(t) if t else [] for t in texts]
             counts = np.fromiter(map(len, each), np.int64, len(each))
             found = [t for part in each for t in part]
@@ -248,15 +305,21 @@ def _encode(batches: Iterator[pa.RecordBatch], model, power: float, seed: int, n
             rows = batch.slice(first, len(texts))
             missing = rows.column(0).is_null()
             pieces = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out), mask=missing)
-            yield pa.RecordBatch.from_arrays([*rows.columns[2:], pieces], names=names)
+            made = [*rows.columns[2:], pieces]
+            if verify:
+                same = [spelled(out[a:b].tolist(), vocab.spelled) == t for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
+                made.append(pa.array(same))
+            yield pa.RecordBatch.from_arrays(made, names=names)
 
 
 def encode(
     docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, power: float = 1.0, seed: int = 11,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, verify: bool = False,
 ) -> DataFrame:
     """The ``keep`` columns of every row (all if None) and pieces, a sampled segmentation as piece ids.
 
+    With ``verify`` also lossless: the pieces were decoded at once and spell the text (null as empty).
+
     ``model`` is the path of a SentencePiece model, read on the driver. A piece of rank r weighs
     (1 + r) ** -power; a larger power keeps closer to the most frequent pieces. Rows with equal
     key and text get equal pieces, whatever their place; a null key is a key like any other. A
@@ -268,12 +331,15 @@ def encode(
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     name = fresh(own, "pieces")
     out = T.StructType([T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(own)])
-    out = out.add(name, T.ArrayType(T.IntegerType()))
+    out, new = out.add(name, T.ArrayType(T.IntegerType())), [name]
+    if verify:
+        new.append(fresh([*own, name], "lossless"))
+        out = out.add(new[-1], "boolean")
     plain = docs.select(
         F.col(text).alias("text"), F.xxhash64(key).alias("key"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(own)]
     )
-    made = plain.mapInArrow(partial(_encode, model=sent, power=power, seed=seed, names=out.fieldNames()), out)
-    return made.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(own)], name)
+    made = plain.mapInArrow(partial(_encode, model=sent, power=power, seed=seed, verify=verify, names=out.fieldNames()), out)
+    return made.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(own)], *new)
 
 
 def spelled(ids, spelling: list[bytes]) -> bytes:
@@ -313,10 +379,9 @@ def decode(encoded: DataFrame, pieces: str = "pieces", model: str | None = None,
 
 
 def op2_sentencepiece(spark, sf_dir):
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return decode(encoded).select(
-        "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces",
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], verify=True)
+    return encoded.select(
+        "doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "lossless"
     )
 
 
