@@ -13,6 +13,7 @@ there, and reports the bytes in between as a gap.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import shared_path, table
 
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = MAGIC + bytes([0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 #: payloads of fewer bytes are never replaced by a revisit
@@ -126,7 +128,7 @@ def _one_member(data: bytes, at: int) -> tuple[bytes, int]:
 
 def _one_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Fields, block and end of the record at a place."""
-    if data[at : at + 7] != VERSION[:7]:
+    if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
     head_end = data.find(b"\r\n\r\n", at)
     if head_end < 0:
