@@ -270,11 +270,11 @@ def repeats(
         met.where((F.col("start") >= 0) & (F.col("settled") | (F.col("met") > 1)))
         .select("id", "key", "core", "run", "start", "n"), "runs",
     )
-    distinct = held.groupBy("core", "run").agg(
+    distinct = stored(held.groupBy("core", "run").agg(
         F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("id", "key", "start")).alias("at")
-    )
+    ), "distinct-runs")
     kinds = distinct.groupBy("core").agg(F.count("*").alias("kinds")).withColumnRenamed("core", "of")
-    ruled = distinct.join(kinds, F.col("core") == F.col("of")).drop("of")
+    ruled = stored(distinct.join(kinds, F.col("core") == F.col("of")).drop("of"), "ruled-runs")
     alone = (F.col("kinds") == 1) & (F.col("times") > 1) & F.lit(not first)
     whole = ruled.where(alone).select(
         "core", "run", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("n"))).alias("hits")
