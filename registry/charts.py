@@ -162,7 +162,7 @@ _SUMS = " UNION ALL ".join(
 
 def _trajectory(then: str) -> str:
     return (
-        f"{_SUMS} UNION ALL SELECT CAST(2020 AS BIGINT), 'projection', t, ROUND(t * 0.96::DOUBLE, 0), "
+        f"{_SUMS} UNION ALL SELECT CAST(2021 AS BIGINT), 'projection', t, ROUND(t * 0.96::DOUBLE, 0), "
         f"ROUND(t * 1.04::DOUBLE, 0) FROM (SELECT ROUND({then}, 0) AS t FROM growth)"
     )
 
@@ -225,8 +225,8 @@ ORACLES = {
     "forecast_trajectory_total": sql(
         CENSUS_CTE, GROWTH_CTE,
         query=_trajectory(
-            'CAST(SUM("2000 Population") AS DOUBLE) * POWER(POWER(CAST(SUM("2000 Population") AS DOUBLE) / '
-            'SUM("1995 Population"), 1.0 / 5), 20)'
+            'CAST(SUM("2001 Population") AS DOUBLE) * POWER(POWER(CAST(SUM("2001 Population") AS DOUBLE) / '
+            'SUM("1995 Population"), 1.0 / 6), 20)'
         ),
     ),
     "top10_projected": sql(

@@ -218,7 +218,7 @@ QUANTITY = f"GREATEST(COALESCE(ABS({_number('quantity')}), 1.0), 1.0)"
 PRICE = f"ABS({_number('unit_price')})"
 _D = f"ABS({_number('discount')})"
 DISCOUNT = (
-    f"CASE WHEN {_D} IS NULL THEN 0.0 ELSE LEAST(CASE WHEN {_D} > 1 THEN {_D} / 100 ELSE {_D} END, 0.99) END"
+    f"CASE WHEN {_D} IS NULL THEN 0.0 ELSE LEAST(CASE WHEN {_D} > 1 OR contains(discount, '%') THEN {_D} / 100 ELSE {_D} END, 0.99) END"
 )
 _R = _number("customer_satisfaction")
 
@@ -242,7 +242,7 @@ PIPELINE = [
     f"""ruled AS (SELECT CAST(order_id AS BIGINT) AS order_id, transaction_id, {DATE} AS order_date,
   {_fuzzy('region')} AS region, {_fuzzy('category')} AS category, {_fuzzy('payment_method')} AS payment_method,
   {QUANTITY} AS quantity, {PRICE} AS unit_price, {DISCOUNT} AS discount, {_number('total_sales')} AS total_sales,
-  {_rating('uniq')} AS customer_satisfaction, region AS raw_region, category AS raw_category,
+  {_rating('keyed')} AS customer_satisfaction, region AS raw_region, category AS raw_category,
   payment_method AS raw_payment_method, order_date AS raw_order_date, {_number('quantity')} AS raw_quantity,
   {_number('unit_price')} AS raw_unit_price, {_number('discount')} AS raw_discount,
   {_number('total_sales')} AS raw_total_sales, {_R} AS raw_customer_satisfaction FROM keyed)""",

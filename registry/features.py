@@ -8,7 +8,7 @@ from tablewright.operators import features
 from tablewright.plans import featuring
 from tablewright.session import materialize
 
-from .inputs import CENSUS_CTE, CENSUS_YEARS, ORDER_KEY, SALES_CTE, census, query, rounded, sales, spread_table, sql, table
+from .inputs import CENSUS_CTE, CENSUS_YEARS, ORDER_KEY, SALES_COLUMNS, SALES_CTE, census, query, rounded, sales, sql, table
 
 KEY = "order_id, CAST(line_no AS BIGINT) AS line_no, part_id, supplier_id"
 PLACE = '"Country/Territory", "Continent"'
@@ -44,13 +44,13 @@ def parts_if_absent(s, d):
 
 def net_growth(s, d):
     t = features.project_value(_census(s, d), target_year=2020, out="projected")
-    t = features.project_net_growth(t, "projected", "2000 Population")
+    t = features.project_net_growth(t, "projected", "2001 Population")
     return t.select("Country/Territory", "projected", "projected_net_growth")
 
 
 def growth_pct(s, d):
     t = features.project_value(_census(s, d), horizon="in 15 years", out="projected")
-    t = features.project_growth_pct(t, "projected", "2000 Population")
+    t = features.project_growth_pct(t, "projected", "2001 Population")
     return t.select("Country/Territory", "projected", "projected_growth_pct")
 
 
@@ -59,7 +59,7 @@ SCALED = ["quantity", "unit_price", "total_sales"]
 
 def full(s, d):
     """The full run; like any later step it reads its table from files."""
-    t, _ = materialize(sales(s, d, spread_table), "sales")
+    t, _ = materialize(sales(s, d), "sales")
     return featuring.feature_pipeline(t, "full", ORDER_KEY)
 
 
@@ -106,7 +106,7 @@ QUERIES = {
     "frequency_encode": query(
         lambda s, d: features.frequency_encode(_sales(s, d, "customer_segment", "region", "category"))
     ),
-    "text_length": query(lambda s, d: features.text_length(spread_table(s, d, "documents").select("doc_id", "text", "source"))),
+    "text_length": query(lambda s, d: features.text_length(table(s, d, "documents").select("doc_id", "text", "source"))),
     "feature_pipeline": query(lambda s, d: full(s, d).table),
     "feature_pipeline_minimal": query(
         lambda s, d: featuring.feature_pipeline(_census(s, d), "minimal", target_year=2042).table
@@ -129,18 +129,18 @@ def _iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d') AS {c}"
 
 
-def _rate(latest: str = "2000 Population", oldest: str = "1995 Population", years: int = 5) -> str:
+def _rate(latest: str = "2001 Population", oldest: str = "1995 Population", years: int = 6) -> str:
     ratio = f'CAST("{latest}" AS DOUBLE) / GREATEST(CAST("{oldest}" AS DOUBLE), 1.0)'
     return f"LEAST(GREATEST(POWER({ratio}, 1.0 / {years}) - 1.0, -0.03), 0.06)"
 
 
 def _projected(years: int) -> str:
-    return f'CAST(ROUND("2000 Population" * POWER(1.0 + {_rate()}, {years}), 0) AS BIGINT)'
+    return f'CAST(ROUND("2001 Population" * POWER(1.0 + {_rate()}, {years}), 0) AS BIGINT)'
 
 
 def _growth_pct(projected: str) -> str:
     return rounded(
-        f'CAST({projected} - "2000 Population" AS DOUBLE) / GREATEST(CAST("2000 Population" AS DOUBLE), 1.0) * 100.0', 2
+        f'CAST({projected} - "2001 Population" AS DOUBLE) / GREATEST(CAST("2001 Population" AS DOUBLE), 1.0) * 100.0', 2
     )
 
 
@@ -179,8 +179,10 @@ SAVED = rounded("quantity * unit_price * discount_percent", 2) + " AS discount_a
 PCT = rounded(
     "total_sales / CAST(SUM(CAST(total_sales AS DECIMAL(28,10))) OVER () AS DOUBLE) * 100.0", 4
 ) + " AS total_sales_pct_of_total"
+# the key, then the other columns of the table
+SALES_ORDER = ', '.join(ORDER_KEY + [c for c in SALES_COLUMNS if c not in ORDER_KEY])
 RUNNING = (
-    "CAST(ROUND(SUM(CAST(total_sales AS DECIMAL(28,10))) OVER (ORDER BY order_id, line_no, part_id, supplier_id "
+    "CAST(ROUND(SUM(CAST(total_sales AS DECIMAL(28,10))) OVER (ORDER BY " + SALES_ORDER + " "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS DOUBLE)"
 ) + " AS running_cumulative_total_sales"
 RANK = "DENSE_RANK() OVER (ORDER BY total_sales DESC) AS total_sales_rank"
@@ -235,12 +237,12 @@ ORACLES = {
     ),
     "cagr": sql(CENSUS_CTE, query=f"SELECT *, {rounded(_rate() + ' * 100.0', 4)} AS historical_cagr_pct FROM census"),
     "project_value": sql(
-        CENSUS_CTE, query=f'SELECT *, {_projected(42)} AS "2042_projected_population" FROM census'
+        CENSUS_CTE, query=f'SELECT *, {_projected(41)} AS "2042_projected_population" FROM census'
     ),
     "project_net_growth": sql(
         CENSUS_CTE,
-        query=f'SELECT "Country/Territory", projected, projected - "2000 Population" AS projected_net_growth '
-        f"FROM (SELECT *, {_projected(20)} AS projected FROM census)",
+        query=f'SELECT "Country/Territory", projected, projected - "2001 Population" AS projected_net_growth '
+        f"FROM (SELECT *, {_projected(19)} AS projected FROM census)",
     ),
     "project_growth_pct": sql(
         CENSUS_CTE,
@@ -281,10 +283,10 @@ ORACLES = {
     "feature_pipeline": sql(SALES_CTE, query=FULL),
     "feature_pipeline_minimal": sql(
         CENSUS_CTE,
-        query=f'SELECT *, "2042_projected_population" - "2000 Population" AS projected_42y_net_growth, '
-        f'{_growth_pct(chr(34) + "2042_projected_population" + chr(34))} AS projected_42y_growth_pct '
+        query=f'SELECT *, "2042_projected_population" - "2001 Population" AS projected_41y_net_growth, '
+        f'{_growth_pct(chr(34) + "2042_projected_population" + chr(34))} AS projected_41y_growth_pct '
         f"FROM (SELECT *, {rounded(_rate() + ' * 100.0', 4)} AS historical_cagr_pct, "
-        f'{_projected(42)} AS "2042_projected_population" FROM census)',
+        f'{_projected(41)} AS "2042_projected_population" FROM census)',
     ),
     "feature_catalog": sql(
         SALES_CTE, f"full_table AS ({FULL})",

@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.sources.files import spread
-
 ORDER_KEY = ["order_id", "line_no", "part_id", "supplier_id"]
 
 
@@ -22,19 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """For queries with much work per row: a file with one row group would keep one core busy."""
-    return spread(table(spark, sf_dir, name))
-
-
-def sales(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order, customer, country and part; equi-joins on keys only.
 
     Every right side is a plain table, so Spark knows its size: small ones are broadcast
     below the size threshold, large ones are merge-joined. No hint is given.
     """
     joined = (
-        read(spark, sf_dir, "lineitem")
+        table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -79,7 +72,13 @@ SALES_CTE = """sales AS (
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     JOIN part ON l_partkey = p_partkey)"""
 
-CENSUS_YEARS = [1995, 1996, 1997, 1998, 1999, 2000]
+SALES_COLUMNS = [
+    "order_id", "line_no", "part_id", "supplier_id", "order_date", "delivery_date", "customer_id", "customer_segment",
+    "region", "country", "category", "product", "payment_method", "order_status", "quantity", "unit_price",
+    "discount_percent", "total_sales", "customer_satisfaction",
+]
+
+CENSUS_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 
 
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +187,7 @@ def _dirty_sql(engine: str, source: str) -> str:
 
 
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_dirty_sql("spark", "{source}"), source=sales(spark, sf_dir, spread_table))
+    return spark.sql(_dirty_sql("spark", "{source}"), source=sales(spark, sf_dir))
 
 
 DIRTY_CTE = f"dirty AS ({_dirty_sql('duckdb', 'sales')})"

@@ -10,8 +10,8 @@ from tablewright.sources import files
 
 from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, census, money_avg, money_sum, query, rounded, sales, sql, sum2
 
-LATEST = "2000 Population"
-PROJECTED = "2020_projected_population"
+LATEST = "2001 Population"
+PROJECTED = "2021_projected_population"
 
 
 def projected_census(spark, sf):
@@ -134,14 +134,14 @@ BY_DIMS = f"""SELECT region, category, COUNT(*) AS row_count, {sum2('total_sales
   {rounded(money_avg('total_sales'), 2)} AS avg_total_sales
 FROM sales WHERE region IS NOT NULL GROUP BY 1, 2 ORDER BY total_total_sales DESC, region, category LIMIT 20"""
 
-_RATE = 'LEAST(GREATEST(POWER(CAST("2000 Population" AS DOUBLE) / GREATEST("1995 Population", 1), 1.0 / 5) - 1, -0.03), 0.06)'
+_RATE = 'LEAST(GREATEST(POWER(CAST("2001 Population" AS DOUBLE) / GREATEST("1995 Population", 1), 1.0 / 6) - 1, -0.03), 0.06)'
 GROWTH_CTE = f"""growth AS (SELECT *, {rounded(_RATE + ' * 100', 4)} AS historical_cagr_pct,
-  CAST(ROUND("2000 Population" * POWER(1 + {_RATE}, 20)) AS BIGINT) AS "{PROJECTED}" FROM census)"""
+  CAST(ROUND("2001 Population" * POWER(1 + {_RATE}, 20)) AS BIGINT) AS "{PROJECTED}" FROM census)"""
 TOP_ENTITIES = f"""SELECT "Country/Territory" AS country, "Continent" AS continent,
-  "2000 Population" AS current_population, "{PROJECTED}" AS projected_population
-FROM growth ORDER BY "2000 Population" DESC, 1 LIMIT 15"""
+  "2001 Population" AS current_population, "{PROJECTED}" AS projected_population
+FROM growth ORDER BY "2001 Population" DESC, 1 LIMIT 15"""
 ROLLUP = f"""SELECT "Continent" AS continent, COUNT(*) AS total_countries,
-  CAST(SUM("2000 Population") AS BIGINT) AS current_continent_population,
+  CAST(SUM("2001 Population") AS BIGINT) AS current_continent_population,
   CAST(SUM("{PROJECTED}") AS BIGINT) AS projected_continent_population FROM growth GROUP BY 1"""
 LEADERS = """SELECT "Country/Territory" AS country, "Continent" AS continent,
   historical_cagr_pct AS demographic_growth_velocity

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed
 from tablewright.operators import checks, star
 
-from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, money_sum, query, rounded, sales, spread_table, sql, sum2, table
+from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, money_sum, query, rounded, sales, sql, sum2, table
 from .kpis import GROWTH_CTE, LATEST, PROJECTED, projected_census
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -25,7 +25,7 @@ def dimensions(s, d):
 
 def large_dimension(s, d):
     """Numbered in range buckets, as a dimension that grows with the data is."""
-    return star.dim_category(table(s, d, "customer"), "c_name", "customer_key", small=0)
+    return star.dim_category(table(s, d, "customer"), "c_name", "customer_key")
 
 
 def facts(s, d):
@@ -37,7 +37,7 @@ def orphans(s, d):
     """Labels without a document, and order lines against their parts."""
     a = star.fact_orphans(table(s, d, "labels"), "doc_id", table(s, d, "documents"), "doc_id", "labels-documents")
     b = star.fact_orphans(
-        table(s, d, "orders"), "o_custkey", table(s, d, "lineitem"), "l_suppkey", "orders-lineitem"
+        table(s, d, "lineitem"), "l_partkey", table(s, d, "part"), "p_partkey", "lineitem-part"
     )
     return a.unionByName(b)
 
@@ -63,10 +63,10 @@ QUERIES = {
         lambda s, d: star.matrix_two_dims(sales(s, d), "category", "region", "total_sales", wide=True)
     ),
     "banned_vocabulary_scan": query(
-        lambda s, d: checks.banned_vocabulary_scan(spread_table(s, d, "documents"), "documents", ["text"])
+        lambda s, d: checks.banned_vocabulary_scan(table(s, d, "documents"), "documents", ["text"])
     ),
     "banned_vocabulary_turns": query(
-        lambda s, d: checks.banned_vocabulary_scan(spread_table(s, d, "conversations"), "conversations", ["role", "text"])
+        lambda s, d: checks.banned_vocabulary_scan(table(s, d, "conversations"), "conversations", ["role", "text"])
     ),
 }
 
@@ -119,7 +119,7 @@ FROM (SELECT unnest(generate_series(MIN(order_date), MAX(order_date), INTERVAL 1
         "DENSE_RANK() OVER (ORDER BY region) AS region_key, DENSE_RANK() OVER (ORDER BY category) AS category_key FROM sales",
     ),
     "fact_orphans": _orphans("labels", "doc_id", "documents", "doc_id", "labels-documents")
-    + " UNION ALL " + _orphans("orders", "o_custkey", "lineitem", "l_suppkey", "orders-lineitem"),
+    + " UNION ALL " + _orphans("lineitem", "l_partkey", "part", "p_partkey", "lineitem-part"),
     "measure_totals": sql(
         SALES_CTE,
         query=" UNION ALL ".join(

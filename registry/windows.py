@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tablewright.operators import features
 
-from .features import KEY, PCT, RANK, RUNNING, _sales
+from .features import KEY, PCT, RANK, RUNNING, SALES_ORDER, _sales
 from .inputs import ORDER_KEY, SALES_CTE, query, sql, table
 
+RUNNING_NARROW = RUNNING.replace(SALES_ORDER, ", ".join([*ORDER_KEY, "total_sales"]))
+
 QUERIES = {
     "pct_of_total": query(lambda s, d: features.pct_of_total(_sales(s, d, "total_sales"), "total_sales")),
     "running_total": query(
@@ -26,7 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "pct_of_total": sql(SALES_CTE, query=f"SELECT {KEY}, total_sales, {PCT} FROM sales"),
-    "running_total": sql(SALES_CTE, query=f"SELECT {KEY}, total_sales, {RUNNING} FROM sales"),
+    "running_total": sql(SALES_CTE, query=f"SELECT {KEY}, total_sales, {RUNNING_NARROW} FROM sales"),
     "running_total_hot": "SELECT o_orderkey, o_orderpriority, o_totalprice, "
     "CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(28,10))) OVER (ORDER BY o_orderpriority, o_orderkey "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS DOUBLE)"

@@ -18,17 +18,28 @@ def half_up(c: Column, digits: int) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Exact decimal for sums, so the result does not depend on the order of addition."""
-    return c.cast("decimal(28,10)")
+    """The decimal part of a number, for sums that do not depend on the order of addition.
+
+    What it leaves out, digits beyond the tenth, numbers that are too large, NaN, is in
+    :func:`money_rest`; for amounts of money that is 0.
+    """
+    return c.try_cast("decimal(28,10)")
+
+
+def money_rest(c: Column) -> Column:
+    exact, number = money(c), c.cast("double")
+    return F.when(exact.isNull(), number).otherwise(number - exact.cast("double"))
 
 
 def money_sum(c: Column) -> Column:
-    return F.sum(money(c)).cast("double")
+    """The sum of all numbers; NaN stays NaN, as it does in the mean."""
+    return F.coalesce(F.sum(money(c)), F.lit(0)).cast("double") + F.sum(money_rest(c))
 
 
 def rounded_sum(c: Column, digits: int = 2) -> Column:
-    """The exact sum, rounded before it becomes a double."""
-    return F.round(F.sum(money(c)), digits).cast("double")
+    """The sum, rounded before it becomes a double where the decimal part is all of it."""
+    rest = F.sum(money_rest(c))
+    return F.when(rest == 0, F.round(F.sum(money(c)), digits).cast("double")).otherwise(F.round(money_sum(c), digits))
 
 
 def money_avg(c: Column) -> Column:
@@ -89,9 +100,10 @@ def price(c: Column) -> Column:
 
 
 def discount(c: Column) -> Column:
-    """Share in [0, 0.99]; values above 1 are read as percent; missing is no discount."""
+    """Share in [0, 0.99]; values above 1 and cells with a percent sign are percent; missing is no discount."""
     raw = F.abs(to_number(c))
-    share = F.when(raw > 1.0, raw / 100.0).otherwise(raw)
+    percent = (raw > 1.0) | F.contains(c.cast("string"), F.lit("%"))
+    share = F.when(percent, raw / 100.0).otherwise(raw)
     return F.when(raw.isNull(), F.lit(0.0)).otherwise(F.least(share, F.lit(fixed.DISCOUNT_CEILING)))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +66,12 @@ class WordIds:
         counts = np.fromiter(map(len, each), np.int64, len(each))
         new = list(set(words).difference(self.known))
         if new:
-            made = self.coder.encode_ordinary_batch([w.decode() for w in new], num_threads=1)
+            encode = self.coder.encode_ordinary
+            made = [encode(w.decode()) for w in new]
             size = np.fromiter(map(len, made), np.int64, len(made))
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
-            self.flat = np.concatenate((self.flat, np.array([i for m in made for i in m], np.uint32)))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(made), np.uint32)))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         kinds = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.size[kinds]

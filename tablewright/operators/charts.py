@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
-from ..functions.expr import half_up, money, money_avg, rounded_sum
+from ..functions.expr import half_up, money_avg, money_sum, rounded_sum
 from . import stats
 from .kpi import share_over_total
-from .quantiles import EXACT_LIMIT, column_quantiles, exact_quantiles
+from .quantiles import column_quantiles, exact_quantiles
 
 PROFIT_RATIO = 1.0 - fixed.COGS_RATIO
 
@@ -50,8 +50,8 @@ def kpi_cards(
     gain = F.col(profit) if profit else F.col(sales)
     ratio = F.lit(1.0 if profit else profit_ratio)
     monthly = df.where(F.col(date).isNotNull()).groupBy(month).agg(
-        F.sum(money(F.col(sales))).cast("double").alias("total"),
-        (F.sum(money(gain)).cast("double") * ratio).alias("profit"),
+        money_sum(F.col(sales)).alias("total"),
+        (money_sum(gain) * ratio).alias("profit"),
         money_avg(F.col(sales)).alias("mean"),
         F.count_distinct(order).cast("double").alias("orders"),
     )
@@ -68,7 +68,7 @@ def kpi_cards(
     )
     whole = df.agg(
         rounded_sum(F.col(sales)).alias("total"),
-        half_up(F.sum(money(gain)).cast("double") * ratio, 2).alias("profit"),
+        half_up(money_sum(gain) * ratio, 2).alias("profit"),
         half_up(money_avg(F.col(sales)), 2).alias("mean"),
         F.count_distinct(order).cast("double").alias("orders"),
     )
@@ -111,7 +111,7 @@ def kpi_cards_projection(df: DataFrame, current: str, projected: str, rate: str)
 def trend_monthly(
     df: DataFrame, sales: str, date: str, profit: str | None = None, profit_ratio: float = PROFIT_RATIO
 ) -> DataFrame:
-    gain = rounded_sum(F.col(profit)) if profit else half_up(F.sum(money(F.col(sales))).cast("double") * profit_ratio, 2)
+    gain = rounded_sum(F.col(profit)) if profit else half_up(money_sum(F.col(sales)) * profit_ratio, 2)
     return (
         df.where(F.col(date).isNotNull())
         .groupBy(F.date_format(date, "yyyy-MM").alias("month"))
@@ -129,7 +129,7 @@ def grouped_bar_melt(
     df: DataFrame, region: str, sales: str, profit: str | None = None, profit_ratio: float = PROFIT_RATIO, limit: int = 8
 ) -> DataFrame:
     """Revenue and profit of the largest regions, one row per region and metric."""
-    gain = rounded_sum(F.col(profit)) if profit else half_up(F.sum(money(F.col(sales))).cast("double") * profit_ratio, 2)
+    gain = rounded_sum(F.col(profit)) if profit else half_up(money_sum(F.col(sales)) * profit_ratio, 2)
     best = (
         df.groupBy(region)
         .agg(rounded_sum(F.col(sales)).alias("Revenue"), gain.alias("Profit"))
@@ -139,18 +139,18 @@ def grouped_bar_melt(
     return best.unpivot([region], ["Revenue", "Profit"], "metric", "amount")
 
 
-def _visible(df: DataFrame, value: str, top: float, limit: int) -> tuple[DataFrame, float, list[float]] | None:
+def _visible(df: DataFrame, value: str, top: float) -> tuple[DataFrame, float, list[float]] | None:
     """Non-null values up to the quantile, the quantile, and (median)."""
     known = df.where(F.col(value).isNotNull())
-    q = column_quantiles(known, [value], [top, 0.5], limit)[value]
+    q = column_quantiles(known, [value], [top, 0.5])[value]
     return (known.where(F.col(value) <= q[0]), q[0], [q[1]]) if q else None
 
 
 def histogram(
-    df: DataFrame, value: str, bins: int = 25, top: float = 0.95, limit: int = EXACT_LIMIT
+    df: DataFrame, value: str, bins: int = 25, top: float = 0.95
 ) -> DataFrame:
     """Equal bins over the values up to the 95th percentile, with median and mean of all values."""
-    seen = _visible(df, value, top, limit)
+    seen = _visible(df, value, top)
     if seen is None:
         return df.sparkSession.createDataFrame(
             [], "bin bigint, bin_start double, bin_end double, count bigint, median double, mean double"
@@ -173,14 +173,14 @@ def histogram(
 
 
 def kde_curve(
-    df: DataFrame, value: str, grid: int = 100, bins: int = 512, top: float = 0.95, limit: int = EXACT_LIMIT
+    df: DataFrame, value: str, grid: int = 100, bins: int = 512, top: float = 0.95
 ) -> DataFrame:
     """Gaussian density with Scott's bandwidth on a fixed grid.
 
     The values are counted into fine bins first, so the sum of kernels has bins times grid
     terms whatever the number of rows.
     """
-    seen = _visible(df, value, top, limit)
+    seen = _visible(df, value, top)
     if seen is None:
         return df.sparkSession.createDataFrame([], "point bigint, x double, density double")
     shown, cut, _ = seen
@@ -208,15 +208,15 @@ def kde_curve(
 
 
 def boxplot_stats(
-    df: DataFrame, category: str, value: str, top: float | None = 0.95, limit: int = EXACT_LIMIT
+    df: DataFrame, category: str, value: str, top: float | None = 0.95
 ) -> DataFrame:
     """Per category: quartiles, mean, whiskers and outliers of the values up to the 95th percentile."""
     known = df.select(category, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
     if top is not None:
-        cut = column_quantiles(known, ["__x"], [top], limit)["__x"]
+        cut = column_quantiles(known, ["__x"], [top])["__x"]
         known = known.where(F.col("__x") <= (cut[0] if cut else 0.0))
     named = known.where(F.col(category).isNotNull())
-    box = exact_quantiles(named, "__x", [0.25, 0.5, 0.75], [category], limit)
+    box = exact_quantiles(named, "__x", [0.25, 0.5, 0.75], [category])
     q = [F.col("quantiles")[i] for i in range(3)]
     x, spread = F.col("__x"), q[2] - q[0]
     inside = (x >= q[0] - 1.5 * spread) & (x <= q[2] + 1.5 * spread)
@@ -266,16 +266,16 @@ def donut_top_other(
     df: DataFrame, category: str, value: str, keep: int = 5, most: int = 6, other: str = "Other Categories"
 ) -> DataFrame:
     """The largest categories and one bucket for the rest, when there are more than ``most``."""
-    grouped = df.groupBy(F.col(category).alias("category")).agg(F.sum(money(F.col(value))).alias("sales"))
+    grouped = df.groupBy(F.col(category).alias("category")).agg(money_sum(F.col(value)).alias("sales"))
     order = [F.desc("sales"), F.col("category").asc_nulls_last()]
     size = grouped.count()
     if size <= most:
-        return grouped.select("category", F.round("sales", 2).cast("double").alias("sales"))
+        return grouped.select("category", half_up(F.col("sales"), 2).alias("sales"))
     best = grouped.orderBy(*order).limit(keep).select(F.col("category").alias("__best"), F.lit(1).alias("__kept"))
     # `keep` rows
     marked = grouped.join(F.broadcast(best), F.col("category").eqNullSafe(F.col("__best")), "left")
     name = F.when(F.col("__kept").isNotNull(), F.col("category")).otherwise(F.lit(other))
-    return marked.groupBy(name.alias("category")).agg(F.round(F.sum("sales"), 2).cast("double").alias("sales"))
+    return marked.groupBy(name.alias("category")).agg(rounded_sum(F.col("sales")).alias("sales"))
 
 
 def contribution_breakdown(df: DataFrame, dimension: str, metric: str, limit: int = 6) -> DataFrame:
@@ -353,7 +353,7 @@ def custom_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def custom_chart(
     df: DataFrame, kind: str, x: str, y: str | None = None, hue: str | None = None, aggregation: str = "sum",
-    key: list[str] | None = None, limit: int = EXACT_LIMIT,
+    key: list[str] | None = None,
 ) -> DataFrame:
     """The data of a bar, line, histogram, box or scatter chart over any columns."""
     for c in (x, y, hue):
@@ -367,11 +367,11 @@ def custom_chart(
     if kind == "line":
         return custom_line(df, x, y)
     if kind in ("hist", "histogram"):
-        return histogram(df.select(x), x, top=1.0, limit=limit)
+        return histogram(df.select(x), x, top=1.0)
     if kind in ("box", "boxplot"):
         if y:
-            return boxplot_stats(df.select(x, y).na.drop(), x, y, None, limit)
-        return boxplot_stats(df.select(F.lit(x).alias("column"), x).na.drop(), "column", x, None, limit)
+            return boxplot_stats(df.select(x, y).na.drop(), x, y, None)
+        return boxplot_stats(df.select(F.lit(x).alias("column"), x).na.drop(), "column", x, None)
     if kind in ("scatter", "scatterplot"):
         return scatter_sample(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, key or [x, y], hue)
     raise ValueError(f"unsupported chart type: {kind}")

@@ -6,6 +6,7 @@ aggregate and use its numbers as literals.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,20 +15,23 @@ from pyspark.sql import types as T
 
 from ..functions import expr, fixed, fuzzy, roles
 from . import order
-from .quantiles import EXACT_LIMIT, column_quantiles
+from .quantiles import column_quantiles
 
 
 def header_names(columns: list[str]) -> list[str]:
-    """Lower snake case without punctuation; a repeated name gets ``_2``, ``_3`` and so on."""
-    taken: set[str] = set()
-    names = []
-    for c in columns:
-        base = re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", c).strip()).lower() or "column"
-        name, n = base, 2
-        while name in taken:
-            name, n = f"{base}_{n}", n + 1
-        taken.add(name)
-        names.append(name)
+    """Lower snake case without punctuation. The first column of a name keeps it; the others are
+    numbered from 2 in their order, past the names that other columns have."""
+    bases = ["_".join(re.sub(r"[^\w\s]", "", c).split()).lower() or "column" for c in columns]
+    used = set(bases)
+    places: dict[str, list[int]] = {}
+    for i, base in enumerate(bases):
+        places.setdefault(base, []).append(i)
+    names = list(bases)
+    for base, own in places.items():
+        free = (f"{base}_{n}" for n in itertools.count(2))
+        for i in own[1:]:
+            names[i] = next(name for name in free if name not in used)
+            used.add(names[i])
     return names
 
 
@@ -171,10 +175,10 @@ def clean_discount(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, expr.discount(F.col(column)))
 
 
-def rating_replacement(df: DataFrame, column: str, limit: int = EXACT_LIMIT, rows: int | None = None) -> float:
+def rating_replacement(df: DataFrame, column: str) -> float:
     """Median of the ratings on the scale."""
     valid = df.select(expr.to_number(F.col(column)).alias("r")).where(F.col("r") <= fixed.RATING_HIGH)
-    found = column_quantiles(valid, ["r"], [0.5], limit, rows)["r"]
+    found = column_quantiles(valid, ["r"], [0.5])["r"]
     return (found[0] if found else None) or fixed.RATING_DEFAULT
 
 
@@ -255,14 +259,14 @@ def null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
 
 
 def impute_median(
-    df: DataFrame, columns: list[str] | None = None, medians: dict[str, float] | None = None, limit: int = EXACT_LIMIT
+    df: DataFrame, columns: list[str] | None = None, medians: dict[str, float] | None = None
 ) -> DataFrame:
     """Numeric nulls to the column median, 0 when the column has no value."""
     if medians is None:
         chosen = columns or roles.numeric_columns(df)
         holes = null_counts(df, chosen)
         chosen = [c for c in chosen if holes[c]]
-        found = column_quantiles(df, chosen, [0.5], limit)
+        found = column_quantiles(df, chosen, [0.5])
         medians = {c: (found[c][0] if found[c] else 0.0) for c in chosen}
     return _replace(
         df, {c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in medians.items()}

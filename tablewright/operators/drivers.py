@@ -5,14 +5,13 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
 from ..functions.expr import correlation, half_up, money_avg, rounded_sum
-
-DICTIONARY_LIMIT = 10_000
-
+from ..session import materialize
+from . import order
 
 def variances(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or roles.numeric_columns(df)
@@ -24,20 +23,24 @@ def variances(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def resolve_target(df: DataFrame, hint: str | None = None) -> str:
-    """The metric to explain: by hint, else by keyword, else the one with the highest variance."""
-    columns = roles.numeric_columns(df)
-    if not columns:
+    """The metric to explain.
+
+    Names are compared by whole tokens. A hint chooses the numeric column that shares most
+    tokens with it; without one that shares any, the first keyword that is a token of a column
+    decides; else the column with the highest variance.
+    """
+    named = {c: set(roles.tokens(c)) for c in roles.numeric_columns(df)}
+    if not named:
         raise ValueError("the table has no numeric column")
-    if hint:
-        wanted = hint.lower().strip().replace(" ", "_")
-        named = next((c for c in columns if wanted in c.lower() or c.lower() in wanted), None)
-        if named:
-            return named
-    for word in fixed.TARGET_WORDS:
-        named = next((c for c in columns if word in c.lower()), None)
-        if named:
-            return named
-    return variances(df, columns).orderBy(F.desc("variance"), "column_name").first()["column_name"]
+    asked = set(roles.tokens(hint or ""))
+    shared = {c: len(asked & words) for c, words in named.items()}
+    ranked = sorted((-n, len(named[c]), k, c) for k, (c, n) in enumerate(shared.items()) if n)
+    if ranked:
+        return ranked[0][-1]
+    by_keyword = [c for word in fixed.TARGET_WORDS for c, words in named.items() if word in words]
+    if by_keyword:
+        return by_keyword[0]
+    return variances(df, list(named)).orderBy(F.desc("variance"), "column_name").first()["column_name"]
 
 
 def feature_columns(df: DataFrame, target: str) -> list[str]:
@@ -46,30 +49,25 @@ def feature_columns(df: DataFrame, target: str) -> list[str]:
 
 
 def ordinal_features(
-    df: DataFrame, target: str, features: list[str] | None = None, limit: int = DICTIONARY_LIMIT
+    df: DataFrame, target: str, features: list[str] | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Complete rows as doubles; texts become their position in sorted order.
 
-    A dictionary has one row per value and is joined, never nested into the expression; a
-    text with more than ``limit`` values is no category and is refused.
+    The values of all texts are counted in one pass and numbered in ranges, so a text may have
+    any number of them. Each dictionary is joined back; Spark broadcasts the small ones.
     """
     features = features or feature_columns(df, target)
-    texts = set(roles.string_columns(df))
+    texts = [c for c in features if c in set(roles.string_columns(df))]
     rows = df.select(target, *features).na.drop()
-    sizes = {}
-    if texts & set(features):
-        chosen = [c for c in features if c in texts]
-        row = rows.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(chosen)]).first()
-        sizes = {c: row[f"d{i}"] for i, c in enumerate(chosen)}
-    wide = [c for c, n in sizes.items() if n > limit]
-    if wide:
-        raise ValueError(f"more than {limit} values in {wide}; leave these columns out")
-    for c in sizes:
-        codes = rows.select(c).distinct().withColumn(
-            "__code", (F.row_number().over(Window.orderBy(c)) - 1).cast("double")
-        )
-        # at most `limit` rows, checked above
-        rows = rows.join(F.broadcast(codes), c).drop(c).withColumnRenamed("__code", c)
+    if texts:
+        values = rows.select(*texts).unpivot([], texts, "__column", "__value").distinct()
+        numbered, _ = materialize(order.global_row_number(values, ["__column", "__value"], "__number"), "dictionary")
+        starts = {r["__column"]: r["first"] for r in numbered.groupBy("__column").agg(F.min("__number").alias("first")).collect()}
+        for c in texts:
+            codes = numbered.where(F.col("__column") == c).select(
+                F.col("__value").alias(c), (F.col("__number") - starts.get(c, 0)).cast("double").alias("__code")
+            )
+            rows = rows.join(codes, c).drop(c).withColumnRenamed("__code", c)
     return rows.select(*[F.col(c).cast("double").alias(c) for c in [target, *features]]), features
 
 

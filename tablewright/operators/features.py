@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
-from ..functions.expr import half_up, money, tier
+from ..functions.expr import half_up, money_sum, tier
 from . import order
 
 
@@ -304,7 +304,7 @@ def text_length(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def column_total(df: DataFrame, value: str) -> float:
-    return df.agg(F.sum(money(F.col(value))).cast("double")).first()[0] or 1.0
+    return df.agg(money_sum(F.col(value))).first()[0] or 1.0
 
 
 def pct_of_total(df: DataFrame, value: str, out: str | None = None, total: float | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ first, so a hot key costs one row per task in the shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import half_up, money, money_avg, money_sum, rounded_sum
+from ..functions.expr import half_up, money_avg, money_sum, rounded_sum
 from . import order
 
 
@@ -62,9 +64,10 @@ def monthly_mom(df: DataFrame, date: str = "order_date", sales: str = "total_sal
 
 
 def share_over_total(df: DataFrame, value: str, out: str, digits: int = 2) -> DataFrame:
-    """Percent of the sum over all rows; for aggregated rows, one per group."""
-    total = F.sum(value).over(Window.partitionBy())
-    return df.withColumn(out, half_up(F.try_divide((F.col(value) * 100).cast("double"), total.cast("double")), digits))
+    """Percent of the sum over all rows; the sum is one aggregate, no window over the rows."""
+    total = df.agg(money_sum(F.col(value))).first()[0]
+    whole = F.lit(total).cast("double")
+    return df.withColumn(out, half_up(F.try_divide((F.col(value) * 100).cast("double"), whole), digits))
 
 
 def region_share(df: DataFrame, region: str = "region", sales: str = "total_sales") -> DataFrame:
@@ -72,7 +75,7 @@ def region_share(df: DataFrame, region: str = "region", sales: str = "total_sale
         F.count("*").alias("total_orders"),
         _sum2(sales).alias("regional_revenue"),
         _avg2(sales).alias("avg_order_value"),
-        F.sum(money(F.col(sales))).alias("__sum"),
+        money_sum(F.col(sales)).alias("__sum"),
     )
     return (
         share_over_total(grouped, "__sum", "revenue_share_pct")
@@ -87,7 +90,7 @@ def _per_customer(df: DataFrame, customer: str, sales: str) -> DataFrame:
         .groupBy(customer)
         .agg(
             F.count("*").alias("order_frequency"),
-            F.sum(money(F.col(sales))).cast("double").alias("__sum"),
+            money_sum(F.col(sales)).alias("__sum"),
             _sum2(sales).alias("monetary_lifetime_value"),
             _avg2(sales).alias("avg_basket_size"),
         )
@@ -114,14 +117,12 @@ def dense_rank_over_agg(df: DataFrame, key: str, value: str, out: str = "value_r
 
 
 def rank_over_agg(df: DataFrame, cohort: str, value: str, null_label: str = "All") -> DataFrame:
-    """Count, sum, mean, share and rank per cohort; few rows after grouping."""
+    """Count, sum, mean, share and rank per cohort; cohorts are ranked in ranges, so there may be any number."""
     grouped = df.groupBy(F.coalesce(F.col(cohort).cast("string"), F.lit(null_label)).alias("cohort")).agg(
         F.count("*").alias("total_records"), _sum2(value).alias("total_metric"), _avg2(value).alias("avg_metric")
     )
-    ranked = grouped.withColumn(
-        "cohort_rank", F.rank().over(Window.orderBy(F.desc("total_metric"))).cast("bigint")
-    )
-    return share_over_total(ranked, "total_metric", "share_of_total", 1)
+    ranked = order.global_rank(grouped.withColumn("__down", -F.col("total_metric")), "__down", "cohort_rank", "min")
+    return share_over_total(ranked.drop("__down"), "total_metric", "share_of_total", 1)
 
 
 def payment_mix(
@@ -145,20 +146,24 @@ def percent_rank_filter(
 ) -> DataFrame:
     """Rows whose rounded percent rank reaches the threshold.
 
-    A sketched quantile just below the threshold discards the low rows before anything is
-    shuffled; how many they are is counted, so the ranks stay exact. If the sketch cut too
-    high the filter is dropped. Null values sort first and take the lowest rank.
+    A sketched quantile below the threshold discards the low rows before anything is shuffled;
+    how many they are is counted, so the ranks stay exact. Of several cuts, counted in one pass,
+    the highest that is safe is taken. Null values sort first and take the lowest rank.
     """
     v = F.col(value)
-    sketch = df.agg(F.percentile_approx(v, max(threshold - 0.01, 0.0), 10000).alias("cut")).first()
-    cut = sketch["cut"]
-    if cut is None:
+    tried = [max(threshold - d, 0.0) for d in (0.01, 0.05, 0.25)]
+    cuts = df.agg(F.percentile_approx(v, tried, 10000).alias("cuts")).first()["cuts"]
+    if not cuts:
         return df.withColumn(out, F.lit(0.0)).where(F.lit(threshold <= 0))
-    seen = df.agg(F.count("*").alias("rows"), F.count_if(v.isNull() | (v < cut)).alias("below")).first()
-    rows, below = seen["rows"], seen["below"]
-    safe = below < (threshold - 10.0**-digits) * (rows - 1)
-    kept = df.where(v >= cut) if safe else df.where(v.isNotNull())
-    skipped = below if safe else rows - df.where(v.isNotNull()).count()
+    cuts = [*cuts, -math.inf]
+    seen = df.agg(
+        F.count("*").alias("rows"), *[F.count_if(v.isNull() | (v < cut)).alias(f"below{i}") for i, cut in enumerate(cuts)]
+    ).first()
+    rows = seen["rows"]
+    # the highest cut below which no row can reach the threshold; the last one only leaves out nulls
+    fits = [i for i in range(len(cuts) - 1) if seen[f"below{i}"] < (threshold - 10.0**-digits) * (rows - 1)]
+    chosen = fits[0] if fits else len(cuts) - 1
+    kept, skipped = df.where(v.isNotNull() & (v >= cuts[chosen])), seen[f"below{chosen}"]
     ranked = order.global_rank(kept, value, "__rank", "min", buckets=buckets)
     share = half_up((F.col("__rank") - 1 + skipped) / F.lit(float(max(rows - 1, 1))), digits)
     return ranked.withColumn(out, share).where(F.col(out) >= threshold).drop("__rank")

@@ -1,143 +1,82 @@
 """Global order without one partition.
 
-``Window.orderBy`` without ``partitionBy`` moves a whole table into one task. The
-functions here cut the table into range buckets first: the cut points come from a
-quantile sketch (a bounded list of numbers, used as literals, so that a recomputed task
-sees the same buckets), each bucket is ordered by itself, and what lies in earlier
-buckets is added as an offset from a table with one row per bucket.
-
-A value that fills more than one bucket's share gets a bucket of its own. Ranks of its
-rows follow from the offset alone, so they skip the shuffle; running totals and fills
-split it further by the next order column.
+``Window.orderBy`` without ``partitionBy`` moves a whole table into one task. The functions
+here deal the rows over sorted ranges (Spark samples whole key values of any type for the
+cuts), write them once with the number of their range, order each range by itself, and add
+what lies in earlier ranges from a table with one row per range. There are as many ranges as
+``spark.sql.shuffle.partitions`` says, so their size is set like that of any shuffle.
+
+Every order ends with the remaining columns of the table, so it is total up to rows that are
+equal throughout, and a value that fills many ranges is split by them. Its rank follows from
+the ranges it begins and ends in.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import half_up, money
-
-MAX_BUCKETS = 4096
-_SLICES, _SLICE_BYTES = 4, 6
-
-
-@dataclass
-class Buckets:
-    df: DataFrame
-    columns: list[str]
-    crowded: list[float] = field(default_factory=list)
-    nulls: int = 0
-    rows: int = 0
-
-
-def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
-    wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(wanted, MAX_BUCKETS))
-
-
-def order_keys(df: DataFrame, column: str) -> list[Column]:
-    """Doubles that sort like the column; a text gives one per six bytes of its beginning."""
-    dtype = df.schema[column].dataType
-    c = F.col(column)
-    if isinstance(dtype, T.DateType):
-        return [F.unix_date(c).cast("double")]
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return [F.unix_micros(c.cast("timestamp")).cast("double")]
-    if isinstance(dtype, T.StringType):
-        raw = F.encode(c, "UTF-8")
-        parts = [F.substring(raw, 1 + i * _SLICE_BYTES, _SLICE_BYTES) for i in range(_SLICES)]
-        return [F.conv(F.rpad(F.hex(p), 2 * _SLICE_BYTES, "0"), 16, 10).cast("double") for p in parts]
-    if isinstance(dtype, T.BooleanType):
-        return [c.cast("int").cast("double")]
-    return [c.cast("double")]
-
-
-def range_buckets(df: DataFrame, keys: list[Column], buckets: int | None = None, levels: int | None = None) -> Buckets:
-    """Add bucket columns whose joint order agrees with the order of ``keys``."""
-    n = bucket_count(df, buckets)
-    shares = [i / n for i in range(1, n)]
-    out, columns, within = df, [], None
-    first = Buckets(df, columns)
-    for level, key in enumerate(keys[: levels or len(keys)]):
-        k, b = f"__key{level}", f"__bucket{level}"
-        out = out.withColumn(k, key)
-        seen = out if within is None else out.where(within)
-        row = seen.agg(
-            F.percentile_approx(k, shares, max(10000, 20 * n)).alias("cuts"),
-            F.count("*").alias("rows"),
-            F.count_if(F.col(k).isNull()).alias("nulls"),
-        ).first()
-        cuts = row["cuts"] or []
-        repeated = sorted({a for a, z in zip(cuts, cuts[1:]) if a == z})
-        splits = sorted(set(cuts) | {math.nextafter(v, math.inf) for v in repeated})
-        splitter = Bucketizer(
-            splits=[-math.inf, *splits, math.inf] if splits else [-math.inf, 0.0, math.inf],
-            inputCol=k,
-            outputCol=b,
-            handleInvalid="keep",
-        )
-        out = splitter.transform(out).withColumn(b, F.coalesce(F.col(b).cast("int"), F.lit(-1)))
-        crowd = F.col(k).isin(repeated) if repeated else F.lit(False)
-        if row["nulls"] * n > row["rows"]:
-            crowd = crowd | F.col(k).isNull()
-        if within is not None:
-            out = out.withColumn(b, F.when(within, F.col(b)).otherwise(0))
-        columns.append(b)
-        if level == 0:
-            first = Buckets(out, columns, repeated, row["nulls"], row["rows"])
-        if not repeated and row["nulls"] * n <= row["rows"]:
-            break
-        within = crowd if within is None else within & crowd
-    first.df = out.drop(*[f"__key{i}" for i in range(1, len(columns))])
-    return first
+from ..functions.expr import half_up, money, money_rest
+from ..session import materialize
+
+RANGE = "__range"
+
+
+def tie_breaks(df: DataFrame, order_by: list[str]) -> list[str]:
+    """The columns that make an order total: those not named, as far as they can be sorted."""
+    return [
+        f.name for f in df.schema
+        if f.name not in order_by and not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
 
 
-def _earlier(columns: list[str]) -> Window:
-    return Window.orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+def ranged(df: DataFrame, order: list[Column | str], buckets: int | None = None) -> DataFrame:
+    """The rows with ``RANGE``; ranges follow one another in the given order."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(max(2, n), *order).withColumn(RANGE, F.spark_partition_id())
+    return materialize(dealt, "ranges")[0]
 
 
-def _key_list(df: DataFrame, order_by: list[str]) -> list[Column]:
-    return [k for c in order_by for k in order_keys(df, c)]
+def _earlier() -> Window:
+    # over a table with one row per range
+    return Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_total(
     df: DataFrame, value: str, order_by: list[str], out: str | None = None, digits: int = 2, buckets: int | None = None
 ) -> DataFrame:
-    """Cumulative sum in the order of ``order_by``, which must name a unique key."""
+    """Cumulative sum in the order of ``order_by``, then of the remaining columns."""
     out = out or f"running_cumulative_{value}"
-    cut = range_buckets(df, _key_list(df, order_by), buckets)
-    amount = F.coalesce(money(F.col(value)), F.lit(0).cast("decimal(28,10)"))
-    offsets = (
-        cut.df.groupBy(*cut.columns)
-        .agg(F.sum(amount).alias("__sum"))
-        .select(*cut.columns, F.coalesce(F.sum("__sum").over(_earlier(cut.columns)), F.lit(0)).cast("decimal(36,10)").alias("__before"))
+    keys = [*order_by, *tie_breaks(df, order_by)]
+    cut = ranged(df, keys, buckets)
+    amount, rest = money(F.col(value)), money_rest(F.col(value))
+    sums = cut.groupBy(RANGE).agg(F.sum(amount).alias("__sum"), F.sum(rest).alias("__rest"))
+    offsets = sums.select(
+        RANGE, F.coalesce(F.sum("__sum").over(_earlier()), F.lit(0)).cast("decimal(36,10)").alias("__before"),
+        F.coalesce(F.sum("__rest").over(_earlier()), F.lit(0.0)).alias("__rest_before"),
     )
-    local = Window.partitionBy(*cut.columns).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    # one row per bucket: at most a few thousand rows, so the broadcast is bounded
-    joined = cut.df.join(F.broadcast(offsets), cut.columns)
-    total = F.sum(amount).over(local).cast("decimal(36,10)") + F.col("__before")
-    return joined.select(*df.columns, F.when(F.col(value).isNotNull(), half_up(total, digits)).alias(out))
+    local = Window.partitionBy(RANGE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(offsets), RANGE)
+    total = F.coalesce(F.sum(amount).over(local), F.lit(0)).cast("decimal(36,10)") + F.col("__before")
+    more = F.sum(rest).over(local) + F.col("__rest_before")
+    shown = F.when(more == 0, half_up(total, digits)).otherwise(half_up(total.cast("double") + more, digits))
+    return joined.select(*df.columns, F.when(F.col(value).isNotNull(), shown).alias(out))
 
 
 def forward_fill(df: DataFrame, columns: list[str], order_by: list[str], buckets: int | None = None) -> DataFrame:
-    """Replace nulls by the last value before them in the order of ``order_by``."""
-    cut = range_buckets(df, _key_list(df, order_by), buckets)
-    position = F.struct(*order_by)
-    lasts = cut.df.groupBy(*cut.columns).agg(
+    """Replace nulls by the last value before them in the order of ``order_by``, then of the remaining columns."""
+    keys = [*order_by, *tie_breaks(df, order_by)]
+    cut = ranged(df, keys, buckets)
+    position = F.struct(*keys)
+    lasts = cut.groupBy(RANGE).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"__last_{c}") for c in columns]
     )
     carried = lasts.select(
-        *cut.columns,
-        *[F.last(f"__last_{c}", ignorenulls=True).over(_earlier(cut.columns)).alias(f"__carry_{c}") for c in columns],
+        RANGE, *[F.last(f"__last_{c}", ignorenulls=True).over(_earlier()).alias(f"__carry_{c}") for c in columns]
     )
-    local = Window.partitionBy(*cut.columns).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.df.join(F.broadcast(carried), cut.columns)
+    local = Window.partitionBy(RANGE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(carried), RANGE)
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(local), F.col(f"__carry_{c}")) for c in columns}
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
@@ -151,51 +90,57 @@ def global_rank(
     buckets: int | None = None,
 ) -> DataFrame:
     """Rank of every row over the whole table: ``dense``, ``min`` or ``average``. Null has no rank."""
-    key = order_keys(df, value)
-    if len(key) > 1:
-        raise ValueError("global_rank needs a number or a date")
-    cut = range_buckets(df, [-key[0] if descending else key[0]], buckets, levels=1)
-    b, k = cut.columns[0], "__key0"
-    known = cut.df.where(F.col(k).isNotNull())
+    v, rest = F.col(value), tie_breaks(df, [value])
+    way = v.desc_nulls_first() if descending else v.asc_nulls_first()
+    cut = ranged(df, [way, *rest], buckets)
+    kind = "double" if method == "average" else "bigint"
+    known = cut.where(v.isNotNull())
+    first, last = (F.max(v), F.min(v)) if descending else (F.min(v), F.max(v))
+    ends = known.groupBy(RANGE).agg(F.count("*").alias("__n"), first.alias("__lo"), last.alias("__hi"))
+    local = Window.partitionBy(RANGE).orderBy(way)
+    by_range = Window.orderBy(RANGE)
+    goes_on = F.coalesce(F.lag("__hi").over(by_range) == F.col("__lo"), F.lit(False))
     if method == "dense":
-        per_bucket = known.select(b, k).distinct().groupBy(b).agg(F.count("*").alias("__n"))
+        kinds = known.select(RANGE, value).distinct().groupBy(RANGE).agg(F.count("*").alias("__kinds"))
+        placed = ends.join(kinds, RANGE).withColumn("__again", goes_on.cast("int")).select(
+            RANGE, (F.coalesce(F.sum("__kinds").over(_earlier()), F.lit(0))
+                    - F.sum("__again").over(by_range.rowsBetween(Window.unboundedPreceding, 0))).alias("__before"),
+        )
+        ranked = known.join(F.broadcast(placed), RANGE)
+        rank = F.col("__before") + F.dense_rank().over(local)
     else:
-        per_bucket = known.groupBy(b).agg(F.count("*").alias("__n"))
-    offsets = per_bucket.select(b, "__n", F.coalesce(F.sum("__n").over(_earlier([b])), F.lit(0)).alias("__before"))
-    local = Window.partitionBy(b).orderBy(k)
-    peers = local.rangeBetween(Window.currentRow, Window.currentRow)
-    in_bucket = {
-        "dense": F.dense_rank().over(local),
-        "min": F.rank().over(local),
-        "average": F.rank().over(local) + (F.count("*").over(peers) - 1) / 2,
-    }[method]
-    alone = {"dense": F.lit(1), "min": F.lit(1), "average": (F.col("__n") + 1) / 2}[method]
-    kind = "double" if method == "average" else "bigint"
-
-    def placed(rows: DataFrame, rank: Column) -> DataFrame:
-        ranked = rows.join(F.broadcast(offsets), b)
-        return ranked.select(*df.columns, (F.col("__before") + rank).cast(kind).alias(out))
-
-    crowd = F.col(k).isin(cut.crowded) if cut.crowded else F.lit(False)
-    result = placed(known.where(~crowd) if cut.crowded else known, in_bucket)
-    if cut.crowded:
-        result = result.unionByName(placed(known.where(crowd), alone))
-    if cut.nulls:
-        result = result.unionByName(
-            cut.df.where(F.col(k).isNull()).select(*df.columns, F.lit(None).cast(kind).alias(out))
+        placed = ends.withColumn("__before", F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)))
+        # values at the ends of ranges may go on in the next: their first place and their number
+        # come from all their ranges, two rows for each
+        edge = placed.select(RANGE, F.explode(F.array_distinct(F.array("__lo", "__hi"))).alias("__edge"))
+        own = known.join(F.broadcast(edge), RANGE).where(v == F.col("__edge")).groupBy(RANGE, "__edge").agg(
+            F.count("*").alias("__peers")
+        ).join(F.broadcast(placed), RANGE)
+        starts = F.when(F.col("__edge") == F.col("__lo"), F.col("__before")).otherwise(
+            F.col("__before") + F.col("__n") - F.col("__peers")
+        )
+        total = own.groupBy("__edge").agg((F.min(starts) + 1).alias("__start"), F.sum("__peers").alias("__all"))
+        ranked = known.join(F.broadcast(placed.select(RANGE, "__before")), RANGE).join(
+            F.broadcast(total), v == F.col("__edge"), "left"
         )
-    return result
+        place = F.col("__before") + F.rank().over(local)
+        if method == "min":
+            rank = F.coalesce(F.col("__start"), place)
+        else:
+            peers = F.count("*").over(local.rangeBetween(Window.currentRow, Window.currentRow))
+            rank = F.coalesce(F.col("__start") + (F.col("__all") - 1) / 2, place + (peers - 1) / 2)
+    result = ranked.select(*df.columns, rank.cast(kind).alias(out))
+    return result.unionByName(cut.where(v.isNull()).select(*df.columns, F.lit(None).cast(kind).alias(out)))
 
 
 def global_row_number(df: DataFrame, order_by: list[str], out: str, buckets: int | None = None) -> DataFrame:
-    """1, 2, 3, ... in the order of ``order_by``, which must name a unique key."""
-    cut = range_buckets(df, _key_list(df, order_by), buckets)
-    offsets = (
-        cut.df.groupBy(*cut.columns)
-        .agg(F.count("*").alias("__n"))
-        .select(*cut.columns, F.coalesce(F.sum("__n").over(_earlier(cut.columns)), F.lit(0)).alias("__before"))
+    """1, 2, 3, ... in the order of ``order_by``, then of the remaining columns."""
+    keys = [*order_by, *tie_breaks(df, order_by)]
+    cut = ranged(df, keys, buckets)
+    offsets = cut.groupBy(RANGE).agg(F.count("*").alias("__n")).select(
+        RANGE, F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)).alias("__before")
     )
-    local = Window.partitionBy(*cut.columns).orderBy(*order_by)
-    joined = cut.df.join(F.broadcast(offsets), cut.columns)
+    local = Window.partitionBy(RANGE).orderBy(*keys)
+    joined = cut.join(F.broadcast(offsets), RANGE)
     number = (F.row_number().over(local) + F.col("__before")).cast("bigint")
     return joined.select(*df.columns, number.alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, roles
 from ..functions.expr import half_up, is_placeholder
-from .quantiles import EXACT_LIMIT, exact_quantiles
+from .quantiles import exact_quantiles
 
 COLUMNS_PER_PASS = 200
 CATEGORY_LIMIT = 50
@@ -193,12 +193,12 @@ def profile_top_categories(df: DataFrame, columns: list[str] | None = None, k: i
 
 
 def tukey_bounds(
-    df: DataFrame, columns: list[str], limit: int = EXACT_LIMIT, rows: int | None = None
+    df: DataFrame, columns: list[str]
 ) -> dict[str, tuple[float, float, float, float] | None]:
     """(q25, q75, lower, upper) per column; None where the quartiles coincide or are missing."""
     from .quantiles import column_quantiles
 
-    found = column_quantiles(df, columns, [0.25, 0.75], limit, rows)
+    found = column_quantiles(df, columns, [0.25, 0.75])
     out: dict[str, tuple[float, float, float, float] | None] = {}
     for c in columns:
         q = found.get(c)
@@ -213,10 +213,10 @@ def outlier_count(c: str, bounds: tuple[float, float, float, float] | None) -> C
     return F.count_if((_cell(c) < bounds[2]) | (_cell(c) > bounds[3]))
 
 
-def profile_outlier_count(df: DataFrame, columns: list[str] | None = None, limit: int = EXACT_LIMIT) -> DataFrame:
+def profile_outlier_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Values outside 1.5 interquartile ranges, where the range is positive."""
     columns = columns or roles.measure_columns(df)
-    bounds = tukey_bounds(df, columns, limit)
+    bounds = tukey_bounds(df, columns)
     return _rows_from_wide(
         df,
         columns,
@@ -228,7 +228,7 @@ def profile_outlier_count(df: DataFrame, columns: list[str] | None = None, limit
     )
 
 
-def profile_full(df: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
+def profile_full(df: DataFrame) -> DataFrame:
     """Missing, unique and duplicate shares for every column; moments, quartile-based outliers
     and median for numbers; range for dates; most frequent value for texts."""
     rows_total = df.count()
@@ -237,7 +237,7 @@ def profile_full(df: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
     texts = roles.string_columns(df)
     from .quantiles import column_quantiles
 
-    quartiles = column_quantiles(df, numbers, [0.25, 0.5, 0.75], limit, rows_total)
+    quartiles = column_quantiles(df, numbers, [0.25, 0.5, 0.75])
     bounds, medians = {}, {}
     for c in numbers:
         q = quartiles[c]
@@ -365,5 +365,5 @@ def scorecard(
     return {"overall_score": sum(fixed.SCORE_WEIGHTS[k] * v for k, v in parts.items()), **parts}
 
 
-def grouped_quantiles(df: DataFrame, by: str, value: str, probs: list[float], limit: int = EXACT_LIMIT) -> DataFrame:
-    return exact_quantiles(df, value, probs, [by], limit)
+def grouped_quantiles(df: DataFrame, by: str, value: str, probs: list[float]) -> DataFrame:
+    return exact_quantiles(df, value, probs, [by])

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import roles
-from ..functions.expr import half_up, money, money_sum, rounded_sum
+from ..functions.expr import half_up, money_sum, rounded_sum
 from . import order
 
-SMALL_DIMENSION = 100_000
-
-
 def dim_date(df: DataFrame, date: str) -> DataFrame:
     """One row per day between the first and the last date."""
     span = df.agg(F.min(F.col(date).cast("date")).alias("a"), F.max(F.col(date).cast("date")).alias("z"))
@@ -22,19 +19,13 @@ def dim_date(df: DataFrame, date: str) -> DataFrame:
     )
 
 
-def dim_category(
-    df: DataFrame, column: str, key: str | None = None, buckets: int | None = None, small: int = SMALL_DIMENSION
-) -> DataFrame:
+def dim_category(df: DataFrame, column: str, key: str | None = None, buckets: int | None = None) -> DataFrame:
     """The distinct values, numbered in sorted order; null is left out.
 
-    Up to ``SMALL_DIMENSION`` values one window numbers them; a larger dimension, which may
-    grow with the fact table, is numbered in range buckets.
+    A dimension may grow with the fact table, so it is numbered in ranges.
     """
-    key = key or f"{column}_key"
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if values.count() <= small:
-        return values.withColumn(key, F.row_number().over(Window.orderBy(column)).cast("bigint"))
-    return order.global_row_number(values, [column], key, buckets)
+    return order.global_row_number(values, [column], key or f"{column}_key", buckets)
 
 
 def fact_dim_join(fact: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
@@ -101,13 +92,10 @@ def measure_prior_year(df: DataFrame, date: str, target: str) -> DataFrame:
     The months are summed first; the self-join runs on these few rows.
     """
     monthly = df.where(F.col(date).isNotNull()).groupBy(F.trunc(date, "month").alias("month")).agg(
-        F.sum(money(F.col(target))).alias("__total")
-    )
-    earlier = monthly.select(F.add_months("month", 12).alias("month"), F.col("__total").alias("__before"))
-    return monthly.join(earlier, "month", "left").select(
-        "month", F.round("__total", 2).cast("double").alias("total"),
-        F.round("__before", 2).cast("double").alias("total_last_year"),
+        rounded_sum(F.col(target)).alias("total")
     )
+    earlier = monthly.select(F.add_months("month", 12).alias("month"), F.col("total").alias("total_last_year"))
+    return monthly.join(earlier, "month", "left").select("month", "total", "total_last_year")
 
 
 def measure_yoy_growth(df: DataFrame, date: str, target: str) -> DataFrame:
@@ -127,12 +115,20 @@ def measure_entity_totals(df: DataFrame, current: str, projected: str | None = N
 
 
 def matrix_two_dims(
-    df: DataFrame, rows: str, columns: str, measure: str, wide: bool = False, limit: int = 200
+    df: DataFrame, rows: str, columns: str, measure: str, wide: bool = False, heads: list | None = None
 ) -> DataFrame:
-    """A measure by two dimensions, one row per cell or one column per value of the second."""
+    """A measure by two dimensions, one row per cell, or ``wide`` with one column per head.
+
+    ``heads`` are the values of the second dimension that become columns; without them Spark
+    takes all, up to ``spark.sql.pivotMaxValues``.
+    """
     if not wide:
         return df.groupBy(rows, columns).agg(rounded_sum(F.col(measure)).alias("total"))
-    heads = [r[0] for r in df.select(columns).where(F.col(columns).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(heads) > limit:
-        raise ValueError(f"more than {limit} columns")
-    return df.groupBy(rows).pivot(columns, sorted(heads)).agg(rounded_sum(F.col(measure)))
+    known = df if heads is not None else df.where(F.col(columns).isNotNull())
+    pivoted = known.groupBy(rows).pivot(columns, heads).agg(rounded_sum(F.col(measure)))
+    if heads is not None:
+        return pivoted
+    every = df.select(rows).distinct().withColumnRenamed(rows, "__row")  # rows whose second value is missing stay
+    return every.join(pivoted, F.col("__row").eqNullSafe(F.col(rows)), "left").select(
+        F.col("__row").alias(rows), *[c for c in pivoted.columns if c != rows]
+    )

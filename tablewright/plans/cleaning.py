@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, fixed, roles
 from ..operators import clean, profile
-from ..operators.quantiles import EXACT_LIMIT
 from ..session import materialize
 
 AUDIT_SCHEMA = "column string, operation string, rationale string, affected_rows bigint"
@@ -53,11 +52,10 @@ class CleanResult:
     before_after: DataFrame
     scorecard: DataFrame
     rows: int
-    limit: int
     scratch: list[str]
 
     def profile(self) -> DataFrame:
-        return profile.profile_full(self.cleaned, self.limit)
+        return profile.profile_full(self.cleaned)
 
     def recommendations(self) -> DataFrame:
         return profile.quality_recommendations(self.profile(), self.rows)
@@ -82,7 +80,6 @@ def clean_pipeline(
     date_columns: list[str] | None = None,
     consistency: float | None = None,
     accuracy: float | None = None,
-    limit: int = EXACT_LIMIT,
 ) -> CleanResult:
     """Headers, placeholders, empty rows, duplicates, categories, dates, numbers, imputation.
 
@@ -122,7 +119,10 @@ def clean_pipeline(
     rows_distinct, rows_filled = sizes["rows"], sizes["copies"]
     unique = distinct.drop("__copies")
     order_by = order_by or (key or [])
-    keyed = clean.dedupe_key(unique, key, [c for c in order_by if c not in key]) if key else unique
+    scratch, keyed = [first_path], unique
+    if key:  # read several times below, for the statistics that follow the key deduplication
+        keyed, key_path = materialize(clean.dedupe_key(unique, key, [c for c in order_by if c not in key]), "keyed")
+        scratch.append(key_path)
 
     business = business or BusinessColumns.of(keyed)
     sets = {c: k for c, k in clean.category_columns(keyed).items() if c not in ids}
@@ -137,7 +137,7 @@ def clean_pipeline(
         work = clean.fuzzy_standardize(work, c, kind)
     work = clean.parse_dates(work, dates)
     if business.rating:
-        replacement = clean.rating_replacement(unique, business.rating, limit, rows_distinct)
+        replacement = clean.rating_replacement(keyed, business.rating)
         work = clean.clean_rating(work, business.rating, replacement)
     if business.quantity:
         work = clean.clean_quantity(work, business.quantity)
@@ -146,11 +146,11 @@ def clean_pipeline(
     if business.discount:
         work = clean.clean_discount(work, business.discount)
     visible = keyed.columns
-    whole = clean.cast_id_int(unique, ids)
+    whole = clean.cast_id_int(keyed, ids)
     open_texts = [c for c in texts if c not in ids and c not in sets and c not in dates and c not in business.present()]
-    money_like = clean.infer_numeric_columns(unique, open_texts) if open_texts else unique
+    money_like = clean.infer_numeric_columns(keyed, open_texts) if open_texts else keyed
     for c in ids:
-        if whole.schema[c].dataType != unique.schema[c].dataType:
+        if whole.schema[c].dataType != keyed.schema[c].dataType:
             work = work.withColumn(c, F.col(c).try_cast("bigint"))
     for c in open_texts:
         if roles.is_numeric(money_like.schema[c].dataType):
@@ -164,6 +164,7 @@ def clean_pipeline(
             "__formula", expr.sales_amount(F.col(business.quantity), F.col(business.price), share)
         )
     work, second_path = materialize(work, "ruled")
+    scratch.append(second_path)
     if repair:
         wrong_rows = F.count_if(clean.wrong_sales(F.col(business.sales), F.col("__formula")))
         if _counts(work, {"wrong": wrong_rows})["wrong"]:
@@ -219,7 +220,7 @@ def clean_pipeline(
     modal = [c for c in words if c not in protected]
     rest = [c for c in holes if c not in medians and c not in words]
     chosen = clean.modes(staged, modal)
-    done = clean.impute_mode(clean.impute_median(staged, medians, limit=limit) if medians else staged, chosen=chosen)
+    done = clean.impute_mode(clean.impute_median(staged, medians) if medians else staged, chosen=chosen)
     for c in medians:
         audit.append((c, "Null Imputation (Median)", "column median", holes[c]))
     for c in modal:
@@ -231,7 +232,7 @@ def clean_pipeline(
     cleaned = done.select(*visible)
 
     spread = [*numbers, *earlier]
-    bounds = profile.tukey_bounds(done, spread, limit, rows_after) if spread else {}
+    bounds = profile.tukey_bounds(done, spread) if spread else {}
     after = _counts(
         done,
         {"nulls": profile.null_cells(cleaned), "rows": F.count("*")}
@@ -274,4 +275,4 @@ def clean_pipeline(
         F.lit(after["rows"]).cast("bigint").alias("total_rows_cleaned"),
     )
     trail = spark.createDataFrame(audit, AUDIT_SCHEMA)
-    return CleanResult(cleaned, trail, before_after, card, after["rows"], limit, [first_path, second_path])
+    return CleanResult(cleaned, trail, before_after, card, after["rows"], scratch)

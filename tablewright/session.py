@@ -55,15 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{uuid.uuid4().hex}-{name}")
+    """A fresh path below the shared folder; what is written there goes when the session ends."""
+    path = os.path.join(shared_dir(spark), f"{uuid.uuid4().hex}-{name}")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
     """Write the table to the shared folder and read it back.
 
     Later steps read only the columns they need, and a lost executor costs its tasks, not
-    the steps before. The caller owns the returned path.
+    the steps before. The path is removed at the end of the session, or by the caller before.
     """
     path = scratch_path(df.sparkSession, f"{name}.parquet")
     df.write.parquet(path)

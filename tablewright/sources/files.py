@@ -66,17 +66,6 @@ def read_delimited(
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def spread(df: DataFrame, most: int = 8) -> DataFrame:
-    """Rows of a table that only a few tasks can read, over all cores.
-
-    A row group is read by one task, so a small file with one row group keeps every later
-    step on one core. Tables of more than ``most`` scan partitions are left as they are.
-    """
-    parts = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if parts <= most and parts < cores else df
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet or delimited text, by extension."""
     return read_parquet(spark, path) if _extension(path) in (".parquet", "") else read_delimited(spark, path)

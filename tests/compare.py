@@ -32,7 +32,7 @@ def _cell(v):
         return (0, "")
     if isinstance(v, float):
         if math.isnan(v):
-            return (0, "")
+            return (1, "nan")
         return (1, repr(v + 0.0))
     if isinstance(v, bool):
         return (2, str(int(v)))

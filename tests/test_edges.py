@@ -65,7 +65,7 @@ OPERATORS = {
     "cohorts": lambda d: drivers.cohort_compare(d, "total_sales"),
     "overview": lambda d: drivers.target_overview(d, "total_sales"),
     "dim_date": lambda d: star.dim_date(d, "order_date"),
-    "dim": lambda d: star.dim_category(d, "category", small=0),
+    "dim": lambda d: star.dim_category(d, "category"),
     "fit": lambda d: charts.linear_fit(d, "quantity", "total_sales"),
     "matrix": lambda d: charts.corr_matrix(d, ["quantity", "total_sales"]),
     "direction": lambda d: drivers.driver_direction(d, "total_sales", ["category", "quantity"]),

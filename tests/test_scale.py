@@ -1,13 +1,15 @@
 """Plans and results that must hold at any size: no single partition, hot keys, row order."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tablewright.operators import charts, clean, features, kpi, order, profile, quantiles, stats
+from tablewright.functions import expr
+from tablewright.operators import charts, clean, drivers, features, kpi, order, profile, quantiles, stats
 
 
 def final_plan(df):
@@ -82,29 +84,57 @@ def test_running_total_matches_pandas(hot, hot_pd):
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 
 
-def test_bracketed_quantiles_are_exact(hot, hot_pd):
-    small = quantiles.column_quantiles(hot, ["v", "id", "g"], PROBS)
-    large = quantiles.column_quantiles(hot, ["v", "id", "g"], PROBS, limit=10, accuracy=100)
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_quantiles_are_exact(hot, hot_pd, accuracy):
+    found = quantiles.column_quantiles(hot, ["v", "id", "g"], PROBS, accuracy=accuracy)
     for c in ("v", "id", "g"):
-        want = np.percentile(hot_pd[c].dropna(), [p * 100 for p in PROBS])
-        assert np.allclose(small[c], want) and np.allclose(large[c], want)
+        assert np.allclose(found[c], np.percentile(hot_pd[c].dropna(), [p * 100 for p in PROBS]))
 
 
-def test_bracketed_quantiles_per_hot_group(hot, hot_pd):
-    for r in quantiles.exact_quantiles(hot, "v", PROBS, ["k"], limit=10, accuracy=100).collect():
+def test_quantiles_per_hot_group(hot, hot_pd):
+    for r in quantiles.exact_quantiles(hot, "v", PROBS, ["k"], accuracy=100).collect():
         values = hot_pd[hot_pd.k == r.k].v.dropna()
         assert r.n == len(values) and np.allclose(r.quantiles, np.percentile(values, [p * 100 for p in PROBS]))
 
 
-def test_large_path_of_operators_equals_small_path(hot):
-    for build in (
-        lambda limit: stats.numeric_summary(hot, ["v", "g"], limit=limit),
-        lambda limit: stats.iqr_outliers(hot, ["v", "g"], limit=limit),
-        lambda limit: charts.boxplot_stats(hot, "k", "v", limit=limit),
-        lambda limit: charts.histogram(hot, "v", limit=limit),
-        lambda limit: clean.impute_median(hot, ["v"], limit=limit),
-    ):
-        assert sorted(map(str, rows(build(5_000_000)))) == sorted(map(str, rows(build(10))))
+def test_sums_keep_small_digits_and_nan(spark):
+    tiny = spark.createDataFrame([("a", 1e-11), ("b", 3e-11)], "k string, v double")
+    assert [r.share_pct for r in charts.contribution_breakdown(tiny, "k", "v").collect()] != [None, None]
+    total = tiny.agg(expr.money_sum(F.col("v")).alias("s"), expr.money_avg(F.col("v")).alias("m")).first()
+    assert total.s == pytest.approx(4e-11, rel=1e-12) and total.m == pytest.approx(2e-11, rel=1e-12)
+    huge = spark.createDataFrame([(1e25,), (1e25,), (None,)], "v double")
+    assert huge.agg(expr.money_sum(F.col("v"))).first()[0] == 2e25
+    bad = spark.createDataFrame([(1.0,), (float("nan"),)], "v double").agg(
+        expr.money_sum(F.col("v")).alias("s"), expr.money_avg(F.col("v")).alias("m"), expr.rounded_sum(F.col("v")).alias("r")
+    ).first()
+    assert all(np.isnan(x) for x in bad)
+
+
+def test_text_keys_with_a_long_common_beginning(spark):
+    long = "https://example.org/the/same/beginning/of/every/path/"
+    df = spark.createDataFrame([(f"{long}{i:05d}", 1.0) for i in range(3000)], "url string, v double")
+    placed = order.ranged(df, ["url"], 8).groupBy(order.RANGE).count().collect()
+    assert len(placed) == 8 and max(r["count"] for r in placed) < 1000
+    got = rows(order.global_row_number(df.repartition(5), ["url"], "n", 8), "url")
+    assert [r[2] for r in got] == list(range(1, 3001))
+
+
+def test_wide_driver_text(spark):
+    df = spark.range(12_000).select(
+        F.format_string("t%05d", F.pmod(F.col("id") * 7919, F.lit(12_000))).alias("name"), F.col("id").cast("double").alias("metric")
+    )
+    coded, _ = drivers.ordinal_features(df, "metric", ["name"])
+    assert coded.agg(F.min("name"), F.max("name"), F.countDistinct("name")).first() == (0.0, 11_999.0, 12_000)
+
+
+def test_scans_grow_with_the_columns_not_faster(spark):
+    def scans(k):
+        df = spark.range(50).select(*[(F.rand(i) * 9).alias(f"c{i}") for i in range(k)], *[F.lit(f"x{i}").alias(f"t{i}") for i in range(k)])
+        df.write.mode("overwrite").parquet(path := f"/tmp/scan-{uuid.uuid4().hex}")
+        read = spark.read.parquet(path)
+        return final_plan(drivers.driver_direction(read, "c0")).count("Scan parquet")
+
+    assert scans(4) - scans(3) == scans(3) - scans(2) <= 3
 
 
 def test_group_limits_are_pushed_below_the_shuffle(hot):
