@@ -282,11 +282,11 @@ def contribution_breakdown(df: DataFrame, dimension: str, metric: str, limit: in
     """The largest segments with their share of the listed total."""
     best = (
         df.groupBy(dimension)
-        .agg(rounded_sum(F.col(metric)).alias("metric_sum"))
-        .orderBy(F.desc("metric_sum"), F.col(dimension).asc_nulls_last())
+        .agg(rounded_sum(F.col(metric)).alias("metric_sum"), money_sum(F.col(metric)).alias("__whole"))
+        .orderBy(F.desc("metric_sum"), F.desc("__whole"), F.col(dimension).asc_nulls_last())
         .limit(limit)
     )
-    return share_over_total(best, "metric_sum", "share_pct", 1)
+    return share_over_total(best, "__whole", "share_pct", 1).drop("__whole")
 
 
 def forecast_trajectory(

@@ -67,10 +67,11 @@ def _bracketed(known: DataFrame, keys: list[str], probs: list[float], accuracy:
         position = (F.col("__rows") - 1) * F.lit(float(p))
         low, high = F.floor(position), F.ceil(position)
         picks += [at(low).alias(f"__a{i}"), at(high).alias(f"__z{i}")]
-        weight = position - low
+        # the sketch keeps its error, so a rank outside its bracket is a bug and not a matter of the data
         a = F.coalesce(F.col(f"__a{i}"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         z = F.coalesce(F.col(f"__z{i}"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        values.append(a + (z - a) * weight)
+        between = (high - position) * a + (position - low) * z
+        values.append(F.when(high == low, a).otherwise(between))
     picked = running.groupBy(*constant, "__rows").agg(*picks)
     return picked.select(*keys, F.col("__rows").alias("n"), F.array(*values).alias("quantiles"))
 
