@@ -48,30 +48,33 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescape(found[1]), unescape(found[2])
 
 
-def ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """Rounds of links: in round j, node, up (the message 2^j above, or null), score and depth on the way.
+def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links to ancestors by round, and the messages that reach a root with score and depth of their branch.
 
-    ``nodes`` has node, parent (null or unknown for a root) and score. The last round has no link
-    left. Messages on a cycle, or below one, keep links for ever; rounds stop when the whole
-    table would fit one path, and such messages never reach a root.
+    ``nodes`` has node, parent (null or unknown for a root) and score. Round j has node and up,
+    the message 2^j above. A message that has reached a root is settled: it takes no part in
+    later rounds except as the end of other links. Messages on a cycle, or below one, keep links
+    for ever; rounds stop when the whole table would fit one path, and such messages never settle.
     """
     known = nodes.select(F.col("node").alias("at"))
     first = nodes.join(known, F.col("parent") == F.col("at"), "left").select(
         "node", F.col("at").alias("up"), F.col("score").cast("double").alias("score"), F.lit(1).cast("long").alias("depth")
     )
-    rounds = [stored(first, "links")]
-    most = math.ceil(math.log2(max(2, rounds[0].count()))) + 1
-    while len(rounds) <= most and rounds[-1].where(F.col("up").isNotNull()).limit(1).count():
-        now = rounds[-1]
-        above = now.select(
+    now = stored(first, "links")
+    most = math.ceil(math.log2(max(2, now.count()))) + 1
+    rounds = [now.where(F.col("up").isNotNull())]
+    settled = now.where(F.col("up").isNull())
+    while len(rounds) <= most and rounds[-1].limit(1).count():
+        above = settled.unionByName(rounds[-1]).select(
             F.col("node").alias("at"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("further")
         )
-        joined = now.join(above, F.col("up") == F.col("at"), "left").select(
-            "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
-        )
-        rounds.append(stored(joined, "links"))
-    return rounds
+        now = stored(rounds[-1].join(above, F.col("up") == F.col("at")).select(
+            "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"),
+            (F.col("depth") + F.col("further")).alias("depth"),
+        ), "links")
+        rounds.append(now.where(F.col("up").isNotNull()))
+        settled = settled.unionByName(now.where(F.col("up").isNull()))
+    return rounds, settled
 
 
 def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
@@ -84,15 +87,15 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     from pyspark.sql import Window
 
     plain = nodes.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
-    rounds = ancestors(plain)
+    rounds, settled = ancestors(plain)
     parents = plain.select(F.col("parent").alias("of")).where(F.col("of").isNotNull()).distinct()
-    ends = rounds[-1].where(F.col("up").isNull()).select("node", F.col("score").alias("total"), "depth")
+    ends = settled.select("node", F.col("score").alias("total"), "depth")
     leaves = plain.select("tree", "node").join(parents, F.col("node") == F.col("of"), "left_anti").join(ends, "node")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     path = stored(chosen.select("tree", "rank", F.col("node").alias("leaf"), "node", (F.col("depth") - 1).alias("place")), "paths")
-    for j in reversed(range(len(rounds) - 1)):
-        link = rounds[j].where(F.col("up").isNotNull()).select(F.col("node").alias("at"), "up")
+    for j in reversed(range(len(rounds))):
+        link = rounds[j].select(F.col("node").alias("at"), "up")
         step = path.join(link, F.col("node") == F.col("at")).select(
             "tree", "rank", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << j)).alias("place")
         )
