@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import features, kpi
 from tablewright.plans import suite
+from tablewright.session import materialize
 from tablewright.sources import files
 
 from .inputs import CENSUS_CTE, ORDER_KEY, SALES_CTE, census, money_avg, money_sum, query, rounded, sales, sql, sum2
@@ -50,7 +51,7 @@ def percent_rank(spark, sf):
 
 
 def retail_suite(spark, sf):
-    return suite.kpi_suite(sales(spark, sf), order_key=ORDER_KEY, target="total_sales", dims=["region", "category"]
+    return suite.kpi_suite(materialize(sales(spark, sf), "sales")[0], order_key=ORDER_KEY, target="total_sales", dims=["region", "category"]
                            ).select("template", "dimension", "measure", F.round("value", 3).alias("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, roles
 from ..functions.expr import half_up, money_avg, money_sum, rounded_sum
+from ..session import materialize
 from . import stats
 from .kpi import share_over_total
 from .quantiles import column_quantiles, exact_quantiles
@@ -220,8 +221,8 @@ def boxplot_stats(
     q = [F.col("quantiles")[i] for i in range(3)]
     x, spread = F.col("__x"), q[2] - q[0]
     inside = (x >= q[0] - 1.5 * spread) & (x <= q[2] + 1.5 * spread)
-    # the box table has one row per category; Spark broadcasts it when it is small
-    joined = named.join(box, category)
+    # one row per category, written so that Spark knows its size and broadcasts it when it is small
+    joined = named.join(materialize(box, "boxes")[0], category)
     return joined.groupBy(category).agg(
         F.count("*").alias("n"), half_up(F.avg("__x"), 2).alias("mean"),
         half_up(F.max(q[0]), 2).alias("q1"), half_up(F.max(q[1]), 2).alias("median"), half_up(F.max(q[2]), 2).alias("q3"),

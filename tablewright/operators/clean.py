@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr, fixed, fuzzy, roles
+from ..session import materialize
 from . import order
 from .quantiles import column_quantiles
 
@@ -146,6 +147,7 @@ def fuzzy_standardize(
         .otherwise(expr.title_case(expr.trim_all(F.col("value"))))
         .alias("__chosen"),
     )
+    chosen, _ = materialize(chosen, "labels")  # now Spark knows its size before it plans the join
     joined = known.withColumn("__open", F.coalesce(open_value, spread)).join(chosen, F.col("__open") == F.col("__value"), "left")
     settled = F.coalesce(F.col("__alias"), F.col("__chosen"))
     return joined.select(*[settled.alias(c) if c == column else F.col(c) for c in df.columns])

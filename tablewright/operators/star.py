@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import roles
 from ..functions.expr import half_up, money_sum, rounded_sum
+from ..session import materialize
 from . import order
 
 def dim_date(df: DataFrame, date: str) -> DataFrame:
@@ -31,12 +32,13 @@ def dim_category(df: DataFrame, column: str, key: str | None = None, buckets: in
 def fact_dim_join(fact: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
     """The fact table with the surrogate key of each dimension instead of its value.
 
-    Left equi-joins: a fact row without a dimension row keeps a null key. Spark broadcasts
-    dimensions below its size threshold and merge-joins the others.
+    Left equi-joins: a fact row without a dimension row keeps a null key. Dimensions are written
+    first, so that Spark knows their size: it broadcasts those below its threshold, and the fact
+    table is not shuffled on a handful of values; larger ones are merge-joined.
     """
     out = fact
     for column, dim in dimensions.items():
-        out = out.join(dim, column, "left").drop(column)
+        out = out.join(materialize(dim, "dimension")[0], column, "left").drop(column)
     return out
 
 

@@ -104,23 +104,50 @@ def kpi_suite(df: DataFrame, **options) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-_COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", re.S)
+# comments and quoted parts in one scan, so that neither can hide the other
+_HIDDEN = re.compile(
+    r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`", re.S
+)
+_JAVA_CALLS = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(", re.I)
+
+
+def _bare(statement: str) -> str:
+    """The statement without comments; quoted texts are empty, quoted names are a single ``q``."""
+    return _HIDDEN.sub(lambda m: {"-": " ", "/": " ", "`": "`q`"}.get(m.group()[0], "''"), statement)
 
 
 def check_read_only(statement: str) -> str:
     """The statement without a closing semicolon; refuses anything but one SELECT or WITH query."""
-    bare = _QUOTED.sub(lambda m: m.group() if m.group()[0] == "`" else "''", statement)
-    bare = _COMMENTS.sub(" ", bare).strip().rstrip(";").strip()
+    bare = _bare(statement).strip().rstrip(";").strip()
     if ";" in bare:
         raise PermissionError("only one statement is allowed")
     if not re.match(r"(select|with)\b", bare, re.I):
         raise PermissionError("only SELECT or WITH queries are allowed")
     if re.search(r"\b(insert\s+(into|overwrite)|delete\s+from|merge\s+into|update\s+\S+\s+set)\b", bare, re.I):
         raise PermissionError("only queries that read are allowed")
+    if _JAVA_CALLS.search(re.sub(r"[`]", "", _HIDDEN.sub(lambda m: m.group() if m.group()[0] == "`" else " ", statement))):
+        raise PermissionError("functions that call Java are not allowed")
+    if re.search(r"\b\w+\s*\.\s*`q`", bare) and re.search(r"\b(from|join|table)\s+\w+\s*\.\s*`q`", bare, re.I):
+        raise PermissionError("files are read through registered views only")
     return statement.strip().rstrip(";").strip()
 
 
+def check_plan(spark: SparkSession, statement: str) -> None:
+    """Refuses a statement that Spark's parser reads as anything but a query."""
+    jvm = spark.sparkContext._jvm
+    base = "org.apache.spark.sql.catalyst.plans.logical."
+    refused = [jvm.java.lang.Class.forName(base + n) for n in ("Command", "ParsedStatement")]
+    open_ = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    while open_:
+        node = open_.pop()
+        if any(kind.isInstance(node) for kind in refused):
+            raise PermissionError("only queries that read are allowed")
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+
+
 def sql_readonly(spark: SparkSession, statement: str, limit: int = 500) -> DataFrame:
     """A reading query over the registered views, never more than ``limit`` rows."""
-    return spark.sql(check_read_only(statement)).limit(limit)
+    checked = check_read_only(statement)
+    check_plan(spark, checked)
+    return spark.sql(checked).limit(limit)

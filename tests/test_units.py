@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tablewright.functions import expr, fixed, fuzzy, roles
-from tablewright.operators import checks, clean, features, profile
+from tablewright.operators import checks, clean, drivers, features, profile
 from tablewright.plans import suite
 from tablewright.sources import files
 
@@ -120,12 +120,37 @@ def test_horizon():
 @pytest.mark.parametrize("statement", [
     "DROP TABLE data", "select 1; drop table data", "INSERT INTO data SELECT 1", "SET x=1",
     "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "/* select */ delete from data", "",
+    "WITH a AS (SELECT 1 AS x) -- it's\nINSERT INTO t SELECT * FROM a -- it's",
+    "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT `reflect`('java.lang.System', 'nanoTime')",
+    "SELECT * FROM parquet.`/any/path`", "SELECT * FROM a JOIN csv . `/any/path` USING (x)",
 ])
 def test_only_reading_sql(statement):
     with pytest.raises(PermissionError):
         suite.check_read_only(statement)
 
 
+@pytest.mark.parametrize("statement", ["WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SHOW TABLES", "CACHE TABLE t"])
+def test_plans_that_do_not_read(spark, statement):
+    with pytest.raises(PermissionError):
+        suite.check_plan(spark, statement)
+
+
+def test_hints_and_keywords_choose_the_target(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "separate double, unit_rate double, net_profit double")
+    assert drivers.resolve_target(df, "the rate") == "unit_rate"
+    assert drivers.resolve_target(df, "rates") == "net_profit"
+    assert drivers.resolve_target(df) == "net_profit"
+
+
+def test_repeated_headers():
+    assert clean.header_names(["A b", "a_b", "A-b", "a_b_2", "a b", "", "!"]) == ["a_b", "a_b_3", "ab", "a_b_2", "a_b_4", "column", "column_2"]
+
+
+def test_percent_signs(spark):
+    got = rows(column(spark, ["1%", "0.5%", "15", "0.2", "150%", None]).select(expr.discount(F.col("v")).alias("d")))
+    assert [r[0] for r in got] == [0.01, 0.005, 0.15, 0.2, 0.99, 0.0]
+
+
 def test_reading_sql_is_capped(spark):
     files.register_views(spark.range(100).toDF("n"), ["data"])
     q = "WITH x AS (SELECT n FROM data ORDER BY n LIMIT 50) SELECT n, 'update; -- drop' AS t FROM x;"
