@@ -22,8 +22,27 @@ def resolved(s, d):
     )
 
 
+def planted(s, d):
+    """A metric that falls with one feature alone; every order line takes part."""
+    t = sales(s, d).withColumn("metric", 500.0 - 7.0 * F.col("quantity"))
+    best = drivers.driver_importance(t, "metric", [c for c in FEATURES if c != "unit_price"], top=1)
+    return best.select("feature", "impact_direction")
+
+
+def resolved_by_name(s, d):
+    """The target by hint and by keyword, with its sum over all rows."""
+    t = sales(s, d).select("line_no", "quantity", "unit_price", "total_sales", "customer_satisfaction")
+    rows = [
+        t.agg(F.lit(how).alias("how"), F.lit(c).alias("target"), F.round(F.sum(F.col(c).cast("decimal(28,10)")), 2).cast("double").alias("total"))
+        for how, c in (("hint", drivers.resolve_target(t, "unit price per order")), ("keyword", drivers.resolve_target(t)))
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 QUERIES = {
     "resolve_target": query(resolved),
+    "resolve_target_by_name": query(resolved_by_name),
+    "driver_importance_planted": query(planted),
     "driver_importance": query(lambda s, d: drivers.driver_importance(sales(s, d), "total_sales", FEATURES)),
     "driver_direction": query(lambda s, d: drivers.driver_direction(sales(s, d), "total_sales", FEATURES)),
     "cohort_compare": query(lambda s, d: drivers.cohort_compare(sales(s, d), "total_sales", DIMS)),
@@ -46,6 +65,16 @@ _COHORTS = " UNION ALL ".join(
 LISTED = f"listed AS (SELECT * FROM ({_COHORTS}) ORDER BY position, avg_target DESC, value LIMIT 6)"
 
 ORACLES = {
+    "driver_importance_planted": sql(
+        SALES_CTE,
+        query="SELECT 'quantity' AS feature, CASE WHEN corr(quantity, 500.0 - 7.0 * quantity) < -0.1 THEN 'negative' END "
+        "AS impact_direction FROM sales",
+    ),
+    "resolve_target_by_name": sql(
+        SALES_CTE,
+        query="SELECT 'hint' AS how, 'unit_price' AS target, CAST(ROUND(SUM(CAST(unit_price AS DECIMAL(28,10))), 2) AS DOUBLE) AS total "
+        "FROM sales UNION ALL SELECT 'keyword', 'total_sales', CAST(ROUND(SUM(CAST(total_sales AS DECIMAL(28,10))), 2) AS DOUBLE) FROM sales",
+    ),
     "resolve_target": sql(
         SALES_CTE,
         query="SELECT column_name, variance, CAST(CASE WHEN variance = MAX(variance) OVER () THEN 1 ELSE 0 END AS BIGINT) "

@@ -44,6 +44,17 @@ def delimited(spark, sf):
     return files.read_delimited(spark, path)
 
 
+def detected(spark, sf):
+    """Comma and semicolon files, the separator of the second found from its first line."""
+    source = table(spark, sf, "supplier")
+    parts = []
+    for name, sep in (("supplier.csv", ","), ("supplier.txt", ";")):
+        path = files.write_csv(source, scratch_path(spark, name), sep=sep)
+        read = files.read_delimited(spark, path)
+        parts.append(read.select(F.lit(name).alias("file"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in source.schema]))
+    return parts[0].unionByName(parts[1])
+
+
 def views(spark, sf):
     names = files.register_views(sales(spark, sf))
     counted = [
@@ -77,6 +88,7 @@ def preview(spark, sf):
 
 
 QUERIES = {
+    "scan_delimited_detected": query(detected),
     "scan_csv_strings": query(csv_strings),
     "scan_parquet": query(parquet),
     "scan_csv_typed": query(csv_typed),
@@ -88,7 +100,10 @@ QUERIES = {
     "preview_rows": query(preview),
 }
 
+_SUPPLIERS = "s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal + 0.0 AS s_acctbal FROM supplier"
+
 ORACLES = {
+    "scan_delimited_detected": f"SELECT 'supplier.csv' AS file, {_SUPPLIERS} UNION ALL SELECT 'supplier.txt' AS file, {_SUPPLIERS}",
     "scan_csv_strings": sql(SALES_CTE, DIRTY_CTE, query="SELECT NULLIF(COLUMNS(*), '') FROM dirty"),
     "scan_parquet": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
     "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
