@@ -26,7 +26,7 @@ from tablewright.llm.pieces import TOKEN
 
 ROW, SHARD_BYTES = 2048, 1 << 24
 #: words whose ids a task keeps before it starts anew
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 
 
 def default_ranks() -> str:
