@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.session import scratch_path
+
 #: a word, as the contracts of the queries define it
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,17 +15,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of ``spark.checkpoint.dir``, which all executors share.
 
     Where the setting is absent (tests on one machine) the path lies in a temporary folder;
-    any other master without the setting is an error.
+    any other master without the setting is an error. What is there goes when the session ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tablewright-llm-")
-        spark.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, f"{uuid.uuid4().hex}-{name}")
+    return scratch_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
