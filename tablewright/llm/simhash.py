@@ -209,10 +209,14 @@ def representatives(
     """
     key = tokens.text_key(F.col(text))
     named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), key.alias("key"))
-    groups = _grouped(named, "id", "text", size, threshold)
+    return first_of_each(docs, _grouped(named, "id", "text", size, threshold), id_col, text)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Of the rows (id, key, __root) of each component the document with the smallest id; ``key`` is the text's."""
     stay = groups.groupBy("__root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("stay"))
     stay = stored(stay.select(F.col("stay.id").alias("__stay"), F.col("stay.key").alias("__stay_key")), "representatives")
-    once = docs.withColumn("__key", key).join(
+    once = docs.withColumn("__key", tokens.text_key(F.col(text))).join(
         stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (F.col("__key") == F.col("__stay_key"))
     )
     if groups.groupBy("id", "key").count().where("count > 1").limit(1).count():
