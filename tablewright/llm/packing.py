@@ -10,6 +10,7 @@ for the least free space that holds a piece takes two walks through the tree.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -22,9 +23,12 @@ from pyspark.sql import types as T
 
 from tablewright.llm import tokens
 from tablewright.llm.common import table
-from tablewright.llm.pieces import TOKEN
 
 ROW, SHARD_BYTES = 2048, 1 << 24
+#: white space as the vocabulary's pattern has it (Unicode White_Space)
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: a word with the space before it, or the white space before that; the pattern never matches over these cuts
+TOKEN = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 #: words whose ids a task keeps before it starts anew
 KEPT_WORDS = 800_000
 
@@ -52,7 +56,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.first = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
@@ -61,13 +65,13 @@ class WordIds:
         """Ids of all texts, in order, and the number of ids of each."""
         if len(self.known) > KEPT_WORDS:
             self.clear()
-        each = [TOKEN.findall(t) for t in texts]
+        each = [TOKEN.findall(t.decode()) for t in texts]
         words = [w for part in each for w in part]
         counts = np.fromiter(map(len, each), np.int64, len(each))
         new = list(set(words).difference(self.known))
         if new:
             encode = self.coder.encode_ordinary
-            made = [encode(w.decode()) for w in new]
+            made = [encode(w) for w in new]
             size = np.fromiter(map(len, made), np.int64, len(made))
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
@@ -205,7 +209,8 @@ def pack(
     cumulative lengths from 0; positions start anew at resets; ids is a row of the matrix, ``row``
     little-endian numbers of two bytes (four for vocabularies over 65,536), zero after n_tokens.
     Pieces of a document in order are exactly its ids. ``ranks`` is the path of a vocabulary,
-    read on the driver; words and white space are encoded one by one. Texts without tokens
+    read on the driver; words and runs of white space are encoded one by one, cut where the
+    vocabulary's pattern always cuts, which gives the ids of the whole text. Texts without tokens
     (null, empty) have no piece. Equal rows are documents of their own; ids may be null. An
     empty table gives an empty table.
     """
