@@ -7,7 +7,8 @@ content on any file system Spark knows. Files are read back whole, one at a time
 
 The reader checks the checksum of each member, the length of each record and the digest of its
 block. After a failed check it looks for the next member or version line that passes, goes on
-there, and reports the bytes in between as a gap.
+there, and reports the bytes in between as a gap. In a member of several records the search for
+version lines runs in its content, also in what a damaged member gives before it fails.
 """
 
 from __future__ import annotations
@@ -152,25 +153,94 @@ def _one_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the member at a place, or the bare record there, and the end."""
-    if data.startswith(MAGIC, at):
+def _content_so_far(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """What a damaged member still gives (``most`` bytes, or a few more), and how far it was read."""
+    unpack = zlib.decompressobj(31)
+    out, size, place, step = [], 0, at, 1 << 14
+    while not unpack.eof and place < len(data) and (most is None or size < most):
+        before = unpack.copy() if step > 1 else None
+        part = data[place : place + step]
+        try:
+            got = unpack.decompress(part)
+        except zlib.error:
+            if step == 1:
+                break
+            unpack, step = before, 1  # up to the byte that fails
+            continue
+        if most is not None and step > 1 and size + len(got) >= most:
+            unpack, step = before, 1
+            continue
+        out.append(got)
+        size += len(got)
+        place += len(part)
+    return b"".join(out), place
+
+
+def _inside(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
+    """The same as ``salvage`` for bare records in the content of a member."""
+    at, gap, reason = 0, -1, ""
+    while at < len(content):
+        try:
+            fields, block, end = _one_record(content, at)
+        except Damaged as e:
+            if gap < 0:
+                gap, reason = at, str(e)
+            at = content.find(VERSION[:7], at + 1)
+            at = len(content) if at < 0 else at
+            continue
+        if gap >= 0:
+            yield gap, at, None, reason
+            gap = -1
+        yield at, end, fields, block
+        at = end
+    if gap >= 0:
+        yield gap, len(content), None, reason
+
+
+def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str] | None, bytes | str]], int, str | None]:
+    """What the member or bare record at a place has, the place to go on, and why the member failed.
+
+    Gaps are (None, reason). Of a member whose checksum or end is wrong the records that carry
+    a digest and pass stay; a record that is all there is of such a member is lost with it, as
+    nothing else vouches for its head.
+    """
+    if not data.startswith(MAGIC, at):
+        fields, block, end = _one_record(data, at)
+        return [(fields, block)], end, None
+    try:
         content, end = _one_member(data, at)
-        found, place = [], 0
-        while place < len(content):
-            fields, block, place = _one_record(content, place)
-            found.append((fields, block))
-        return found, end
-    fields, block, end = _one_record(data, at)
-    return [(fields, block)], end
+        failed = None
+    except Damaged as e:
+        failed = e
+        content, end = _content_so_far(data, at)
+    found = list(_inside(content))
+    good = [f for f in found if f[2] is not None]
+    if failed:
+        good = [f for f in good if f[2].get("warc-block-digest", "").startswith("sha256:")]
+        if not good or (good[0][0], good[0][1]) == (0, len(content)):
+            raise failed
+        # the bytes before the end of the last good record are this member's
+        _, end = _content_so_far(data, at, good[-1][1])
+        return [f[2:] for f in good], end, str(failed)
+    if found and not good:
+        raise Damaged(found[0][3])
+    return [
+        (fields, block if fields is not None else f"{block}; bytes {a} to {b} of the member's content")
+        for a, b, fields, block in found
+    ], end, None
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
-    """(start, end, fields, block) of each record that passes, (start, end, None, reason) of each gap."""
+    """(start, end, fields, block) of each record that passes, (start, end, None, reason) of each gap.
+
+    A gap inside a member has the member's bounds and names its bytes of the content. The gap of a
+    member that fails as a whole begins where the member does, whatever of it was saved; the
+    records saved from it end where the last of them does.
+    """
     at, gap, reason = 0, -1, ""
     while at < len(data):
         try:
-            found, end = _unit(data, at)
+            found, end, failed = _unit(data, at)
         except Damaged as e:
             if gap < 0:
                 gap, reason = at, str(e)
@@ -182,6 +252,10 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             gap = -1
         for fields, block in found:
             yield at, end, fields, block
+        if failed:
+            gap, reason = at, failed
+            places = [p for p in (data.find(MAGIC, end), data.find(VERSION[:7], end)) if p >= 0]
+            end = min(places, default=len(data))
         at = end
     if gap >= 0:
         yield gap, len(data), None, reason
