@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "substring", "pieces", "chat", "warc", "mixing", "lpf", "packing", "quality", "permutation", "simhash",
+    "mbs", "repair", "merkle",
 ]
 
 

@@ -71,7 +71,7 @@ def test_query_against_sql(spark, key):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in llm.all_queries())
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_entry_without_the_subpackage(tmp_path):
