@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import mixing, nearcopy, pieces, quality, substring
+from tablewright.llm import mixing, pieces, quality, simhash, substring
 from tablewright.llm.common import stored, table
 
 #: fingerprints and sampled segmentations have no form in SQL; tests compare with brute force
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more), the document with the smallest id stays."""
-    return nearcopy.representatives(docs)
+    """Of each group of linked fingerprints (three-word shingles, three bits), the document with the smallest id stays."""
+    return simhash.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
