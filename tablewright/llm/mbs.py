@@ -18,6 +18,7 @@ import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ from pyspark.sql import types as T
 
 from tablewright.llm import tokens
 from tablewright.llm.common import table
-from tablewright.llm.packing import WordIds, id_type
+from tablewright.llm.packing import TOKEN, id_type
 
 WINDOW, CLOSING = 1024, 0
+#: words whose ids a task keeps before it starts anew
+KEPT_WORDS = 1_000_000
 #: pieces that a task holds before it fills windows, and those it keeps for choice while more come
 STOCK, LEAST_STOCK = 8192, 4096
 
@@ -40,8 +43,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Coder:
-    """The vocabulary of a file, word by word."""
+class _Known(dict):
+    """Numbers words as they are asked for; ``new`` are those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+class Words:
+    """Ids of texts, word by word, by the vocabulary of a file; the ids of words met before are kept in an array.
+
+    Words end where the vocabulary's pattern always ends one. New words go to the library many at a
+    time, with a special token between them, at which it cuts whatever stands beside it.
+    """
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,38 +69,70 @@ class _Coder:
 
         self.model = Tokenizer.from_str(data.decode())
         self.n_vocab = self.model.get_vocab_size()
-
-    def encode_ordinary(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
-
-
-class _Words(WordIds):
-    """Ids of whole texts; special tokens, which the vocabulary cuts out first, are encoded with the text around them."""
-
-    def __init__(self, coder: _Coder):
-        super().__init__(coder)
-        self.specials = [t.content.encode() for t in coder.model.get_added_tokens_decoder().values()]
+        added = {i: t for i, t in self.model.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word)}
+        self.specials = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.border = next(iter(added), None)
+        self.between = added[self.border].content if added else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = _Known()
+        self.flat = np.empty(0, np.uint32)
+        self.first = np.empty(0, np.int64)
+        self.size = np.empty(0, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        if self.between is None:
+            made = [self.whole(w) for w in words]
+            size, ids = np.fromiter(map(len, made), np.int64, len(made)), np.concatenate(made)
+        else:
+            ids = self.whole(self.between.join(words))
+            border = ids == self.border
+            ends = np.append(np.flatnonzero(border), len(ids))
+            size, ids = np.diff(ends, prepend=-1) - 1, ids[~border]
+        self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, ids)
+
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > KEPT_WORDS:
+            self.clear()
+        each = [TOKEN.findall(t.decode()) for t in texts]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        kinds = np.fromiter(map(self.known.__getitem__, chain.from_iterable(each)), np.int64, int(counts.sum()))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        size = self.size[kinds]
+        begin = np.cumsum(size) - size
+        place = np.repeat(self.first[kinds] - begin, size) + np.arange(int(size.sum()))
+        text = np.repeat(np.arange(len(texts)), counts)
+        return self.flat[place], np.bincount(text, size, len(texts)).astype(np.int64)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, in order, and the number of ids of each; texts with special tokens are encoded whole."""
         special = {k for k, t in enumerate(texts) if any(s in t for s in self.specials)}
         if not special:
-            return super().ids(texts)
-        flat, counts = super().ids([b"" if k in special else t for k, t in enumerate(texts)])
+            return self._plain(texts)
+        flat, counts = self._plain([b"" if k in special else t for k, t in enumerate(texts)])
         parts = np.split(flat, np.cumsum(counts)[:-1])
         for k in special:
-            parts[k] = np.array(self.coder.encode_ordinary(texts[k].decode()), np.uint32)
+            parts[k] = self.whole(texts[k].decode())
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 @lru_cache(2)
-def words_of(data: bytes) -> _Words:
-    return _Words(_Coder(data))
+def words_of(data: bytes) -> Words:
+    return Words(data)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary, window: int, closing: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Columns text, id, key become (id, key, start, total, ids) rows of at most ``window`` ids."""
     words = words_of(vocabulary.value)
-    kind = id_type(words.coder.n_vocab)
+    kind = id_type(words.n_vocab)
     end = np.array([closing], kind).tobytes()
     width = len(end)
     for batch in batches:
@@ -257,7 +309,7 @@ def pack(
     spark = docs.sparkSession
     with open(vocabulary or default_vocabulary(), "rb") as f:
         data = f.read()
-    width = np.dtype(id_type(_Coder(data).n_vocab)).itemsize
+    width = np.dtype(id_type(words_of(data).n_vocab)).itemsize
     kind = docs.schema[id_col].dataType
     key = F.xxhash64(tokens.text_key(F.col(text)), F.col(id_col), F.monotonically_increasing_id())
     plain = docs.select(F.col(text).alias("text"), F.col(id_col).alias("id"), key.alias("key"))
