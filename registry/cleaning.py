@@ -168,6 +168,8 @@ TRIMMED_CTE = (
 )
 BASE = [SALES_CTE, DIRTY_CTE, HEADED_CTE]
 TRIMMED = [*BASE, TRIMMED_CTE]
+#: the same, each evaluated once however often the query reads it
+MATERIALIZED = [c.replace(" AS (", " AS MATERIALIZED (", 1) for c in TRIMMED]
 
 
 def _alias_case(c: str) -> str:
@@ -447,8 +449,8 @@ ORACLES = {
         f"{_number('total_sales')} AS total_sales FROM trimmed",
     ),
     "recompute_sales": sql(
-        *TRIMMED,
-        f"parts AS (SELECT transaction_id, {QUANTITY} AS quantity, {PRICE} AS unit_price, {DISCOUNT} AS discount, "
+        *MATERIALIZED,
+        f"parts AS MATERIALIZED (SELECT transaction_id, {QUANTITY} AS quantity, {PRICE} AS unit_price, {DISCOUNT} AS discount, "
         f"{_number('total_sales')} AS total_sales FROM trimmed)",
         query=f"""SELECT transaction_id, quantity, unit_price, discount,
 CASE WHEN (SELECT bool_or(ABS(total_sales - {FORMULA}) > 5 OR total_sales > 100000) FROM parts) THEN {FORMULA}
@@ -463,7 +465,7 @@ UNION ALL SELECT concat_ws('-', order_id, line_no, part_id, supplier_id),
         "AS quantity FROM both_tables",
     ),
     "impute_mode": sql(
-        *TRIMMED,
+        *MATERIALIZED,
         query="SELECT transaction_id, "
         + ", ".join(f"COALESCE({c}, {_mode(c, 'trimmed')}) AS {c}" for c in SETS) + " FROM trimmed",
     ),
