@@ -84,19 +84,47 @@ def test_running_total_matches_pandas(hot, hot_pd):
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_quantiles_are_exact(hot, hot_pd, accuracy):
-    found = quantiles.column_quantiles(hot, ["v", "id", "g"], PROBS, accuracy=accuracy)
+@pytest.mark.parametrize(("accuracy", "final"), [(100, 10_000), (10_000, 10_000), (10, 5), (3, 1), (4, 50)])
+def test_quantiles_are_exact(hot, hot_pd, accuracy, final):
+    found = quantiles.column_quantiles(hot, ["v", "id", "g"], PROBS, accuracy, final)
     for c in ("v", "id", "g"):
         assert np.allclose(found[c], np.percentile(hot_pd[c].dropna(), [p * 100 for p in PROBS]))
 
 
-def test_quantiles_per_hot_group(hot, hot_pd):
-    for r in quantiles.exact_quantiles(hot, "v", PROBS, ["k"], accuracy=100).collect():
-        values = hot_pd[hot_pd.k == r.k].v.dropna()
+@pytest.mark.parametrize("final", [10_000, 2])
+def test_quantiles_per_hot_group(hot, hot_pd, final):
+    named = hot.withColumn("k", F.when(F.col("k") != "k1", F.col("k")))  # a null key is a key
+    found = quantiles.exact_quantiles(named, "v", PROBS, ["k"], 100, final).collect()
+    assert len(found) == hot_pd.k.nunique()
+    for r in found:
+        values = hot_pd[hot_pd.k == (r.k or "k1")].v.dropna()
         assert r.n == len(values) and np.allclose(r.quantiles, np.percentile(values, [p * 100 for p in PROBS]))
 
 
+def test_quantiles_when_the_sketch_misses(hot, hot_pd, monkeypatch):
+    """Cuts that lie elsewhere: the gap of the rank is read again."""
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, ends, accuracy: F.array(*[F.lit(30.0 + i) for i in range(len(ends))]))
+    found = quantiles.column_quantiles(hot, ["v", "id"], PROBS)
+    for c in ("v", "id"):
+        assert np.allclose(found[c], np.percentile(hot_pd[c].dropna(), [p * 100 for p in PROBS]))
+
+
+def test_quantiles_put_few_values_in_order(spark, monkeypatch):
+    """Ten million different values: no window sees more than the final number of them."""
+    seen, ordered = [], quantiles._ordered
+
+    def watched(wanted, values):
+        seen.append(values.groupBy("__k", "__part").count().agg(F.max("count")).first()[0])
+        return ordered(wanted, values)
+
+    monkeypatch.setattr(quantiles, "_ordered", watched)
+    n = 10_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("v"))
+    found = quantiles.column_quantiles(df, ["v"], [0.25, 0.5], final=500)["v"]
+    assert np.allclose(found, [(n - 1) * 0.25, (n - 1) * 0.5])
+    assert len(seen) > 1 and all((s or 0) <= 500 for s in seen)
+
+
 def test_sums_keep_small_digits_and_nan(spark):
     tiny = spark.createDataFrame([("a", 1e-11), ("b", 3e-11)], "k string, v double")
     assert {r.k: r.share_pct for r in charts.contribution_breakdown(tiny, "k", "v").collect()} == {"a": 25.0, "b": 75.0}
