@@ -6,6 +6,7 @@ import importlib
 
 GROUPS = [
     "scans", "profiles", "cleaning", "features", "windows", "statistics", "kpis", "drivers", "charts", "stars",
+    "relations",
 ]
 
 

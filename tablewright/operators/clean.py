@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import expr, fixed, fuzzy, roles
 from ..session import materialize
 from . import order
+from .labels import closest_labels
 from .quantiles import column_quantiles
 
 
@@ -125,21 +126,31 @@ def fuzzy_standardize(
     column: str,
     kind: str | None = None,
     cutoff: float = fixed.FUZZY_CUTOFF,
-    labels: list[str] | None = None,
+    labels: list[str] | DataFrame | None = None,
     aliases: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Alias, else the closest canonical label at or above the cutoff, else title case.
 
+    ``labels`` may be a table with one column, a registry of any size: values then meet only the labels
+    that share a rare gram with them (``labels.closest_labels``), and the first in code point
+    order wins a tie.
+
     Values that an alias settles never reach Python. The others are scored once per
     distinct value and joined back; Spark broadcasts that table only if it is small. Rows
     that need no match get spread keys, so that a merge join has no pile of null keys.
     """
     kind = kind or _kind(column)
-    labels = labels or fixed.CANONICAL[kind]
-    aliases = fixed.ALIASES[kind] if aliases is None else aliases
+    labels = fixed.CANONICAL[kind] if labels is None else labels
+    aliases = fixed.ALIASES.get(kind, {}) if aliases is None else aliases
     known = df.withColumn("__alias", _alias(F.col(column), aliases))
     open_value = F.when(F.col("__alias").isNull(), F.col(column))
-    scores = fuzzy_scores(known.select(open_value.alias(column)), column, labels)
+    open_values = known.select(open_value.alias(column))
+    if isinstance(labels, DataFrame):
+        scores = open_values.distinct().where(F.col(column).isNotNull()).withColumnRenamed(column, "value").join(
+            closest_labels(open_values, labels, cutoff), "value", "left"
+        )
+    else:
+        scores = fuzzy_scores(open_values, column, labels)
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
     chosen = scores.select(
         F.col("value").alias("__value"),
