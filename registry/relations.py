@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
-from tablewright.operators import clean, labels, tablesets, timejoins
+from tablewright.operators import clean, labels, states, tablesets, timejoins
+from tablewright.session import scratch_path
+from tablewright.streaming.windows import append, deduplicated, windowed
 
 from .cleaning import BASE, NAMES, _null_placeholder, _title, _trim, with_sql
 from .inputs import SALES_CTE, dirty_sales, money_sum, query, sales, sql, table
@@ -111,6 +113,53 @@ def user_sessions(s, d):
     return found.select("user_id", _shown("session_start"), _shown("session_end"), "n_rows")
 
 
+def _stream(s, d, name="events"):
+    # a stream reads folders; a pattern also takes a table that is one file
+    stream = s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _finished(s, df, name):
+    """What a stream appends until its input is read."""
+    out, checkpoint = scratch_path(s, name), scratch_path(s, f"{name}-checkpoint")
+    append(df, out, checkpoint).awaitTermination()
+    return s.read.schema(df.schema).parquet(out)
+
+
+COUNTS = [F.count("*").alias("n_events"), F.sum(F.col("value").cast("decimal(28,10)")).cast("double").alias("total")]
+
+
+def _windows(s, d, slide):
+    found = windowed(_stream(s, d), "ts", ["event_type"], COUNTS, "1 hour", slide, "2 hours")
+    return _finished(s, found, "windows").select(_shown("window_start"), _shown("window_end"), "event_type", "n_events", "total")
+
+
+def stream_once(s, d):
+    """Every event is delivered again by a second path; its id is remembered for two days."""
+    twice = _stream(s, d).unionByName(_stream(s, d).where("event_id % 3 <> 1")).select("event_id", "ts", "user_id", "event_type")
+    return _finished(s, deduplicated(twice, ["event_id"], "ts", "2 days"), "once").select("event_id", "user_id", "event_type", _shown("ts"))
+
+
+MEASURES = ["value", "user_id"]
+
+
+def _states(s, d):
+    day = F.to_date("ts").alias("day")
+    events = table(s, d, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return states.column_states(events, MEASURES, [day], {"user_id": 50.0})
+
+
+def merged_states(s, d):
+    found = states.profiles(states.merged(_states(s, d)))
+    return found.select("column_name", "n_rows", "n_known", "missing_pct", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+                        "least", "largest")
+
+
+def merged_sketches(s, d):
+    found = states.profiles(states.merged(_states(s, d)), [0.25, 0.5, 0.75])
+    return found.select("column_name", "distinct_estimate", "p25", "p50", "p75")
+
+
 TOTALS = [F.count("*").alias("n_lines"), F.sum(F.col("total_sales").cast("decimal(28,10)")).cast("double").alias("revenue")]
 
 
@@ -144,6 +193,11 @@ QUERIES = {
     "cube": query(lambda s, d: tablesets.cube(_dims(s, d), ["region", "category", "order_status"], TOTALS)),
     "multiset_difference": query(before_after_rows),
     "above_group_mean": query(above_mean),
+    "stream_tumbling_windows": query(lambda s, d: _windows(s, d, None)),
+    "stream_sliding_windows": query(lambda s, d: _windows(s, d, "30 minutes")),
+    "stream_deduplicate": query(stream_once),
+    "column_states_merged": query(merged_states),
+    "column_states_sketches": query(merged_sketches),
     "fuzzy_standardize_names": query(names),
     "label_join": query(name_scores),
 }
@@ -166,7 +220,24 @@ FROM (SELECT {columns}, 1 AS b, 0 AS a FROM headed UNION ALL SELECT {columns}, 0
     )
 
 
+def _window_sql(offsets: str) -> str:
+    shown = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+    return f"""WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTES, ts) - o * INTERVAL 30 MINUTES AS s, * FROM events, (SELECT unnest({offsets}) AS o)),
+fit AS (SELECT * FROM w WHERE {"epoch(s) % 3600 = 0" if offsets == "[0, 1]" else "true"} AND s + INTERVAL 1 HOUR > ts)
+SELECT {shown.format("s")} AS window_start, {shown.format("s + INTERVAL 1 HOUR")} AS window_end, event_type, COUNT(*) AS n_events,
+  {money_sum("value")} AS total FROM fit
+WHERE s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY s, event_type"""
+
+
 ORACLES = {
+    "stream_tumbling_windows": _window_sql("[0, 1]"),
+    "stream_sliding_windows": _window_sql("[0, 1, 2]"),
+    "stream_deduplicate": "SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events",
+    "column_states_merged": """WITH v AS (SELECT unnest(['value', 'user_id']) AS column_name,
+  unnest([CASE WHEN event_id % 7 <> 0 THEN value END, CAST(user_id AS DOUBLE)]) AS x FROM events)
+SELECT column_name, COUNT(*) AS n_rows, COUNT(x) AS n_known, ROUND((1 - COUNT(x) / COUNT(*)) * 100, 2) AS missing_pct,
+  ROUND(CAST(SUM(CAST(x AS DECIMAL(28,10))) AS DOUBLE) / COUNT(x), 6) AS mean, ROUND(STDDEV_SAMP(x), 6) AS std,
+  MIN(x) AS least, MAX(x) AS largest FROM v GROUP BY column_name""",
     "asof_join_last_order": """SELECT event_id, user_id AS customer_id, o_orderkey AS last_o_orderkey, o_totalprice AS last_o_totalprice
 FROM events LEFT JOIN (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY
   ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1
