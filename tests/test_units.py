@@ -118,21 +118,33 @@ def test_horizon():
 
 
 @pytest.mark.parametrize("statement", [
-    "DROP TABLE data", "select 1; drop table data", "INSERT INTO data SELECT 1", "SET x=1",
-    "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "/* select */ delete from data", "",
-    "WITH a AS (SELECT 1 AS x) -- it's\nINSERT INTO t SELECT * FROM a -- it's",
+    "DROP TABLE data", "select 1; drop table data", "INSERT INTO data SELECT 1", "SET x=1", "SHOW TABLES", "CACHE TABLE data", "",
+    "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "/* select */ delete from data", "EXPLAIN SELECT 1",
+    "WITH a AS (SELECT 1 AS x) -- it's\nINSERT INTO t SELECT * FROM a -- it's", "FROM data INSERT INTO t SELECT n INSERT INTO u SELECT n",
     "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT `reflect`('java.lang.System', 'nanoTime')",
-    "SELECT * FROM parquet.`/any/path`", "SELECT * FROM a JOIN csv . `/any/path` USING (x)",
+    "SELECT n FROM data WHERE n = (SELECT max(java_method('java.lang.System', 'nanoTime')) FROM data)",
+    "SELECT TRANSFORM(n) USING 'cat' AS (x) FROM data",
+    "SELECT * FROM parquet.`/any/path`", "SELECT * FROM data JOIN csv . `/any/path` USING (x)",
+    "SELECT count(*) FROM data, parquet.`/any/path`", "SELECT count(*) FROM `parquet`.`/any/path`",
+    "SELECT count(*) FROM (parquet.`/any/path`)", "SELECT * FROM data CROSS JOIN LATERAL parquet.`/any/path`",
+    "WITH a AS (SELECT * FROM json.`/any/path`) SELECT * FROM a", "SELECT (SELECT max(x) FROM text.`/any/path`) FROM data",
+    "SELECT n FROM data WHERE EXISTS (SELECT 1 FROM orc.`/p`)", "SELECT * FROM data WHERE n IN (WITH a AS (SELECT * FROM csv.`/p`) SELECT x FROM a)",
+    "TABLE parquet.`/any/path`", "SELECT * FROM spark_catalog.default.data", "SELECT * FROM not_registered",
 ])
-def test_only_reading_sql(statement):
+def test_only_reading_sql(spark, statement):
+    files.register_views(spark.range(100).toDF("n"), ["data"])
     with pytest.raises(PermissionError):
-        suite.check_read_only(statement)
+        suite.sql_readonly(spark, statement)
 
 
-@pytest.mark.parametrize("statement", ["WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SHOW TABLES", "CACHE TABLE t"])
-def test_plans_that_do_not_read(spark, statement):
-    with pytest.raises(PermissionError):
-        suite.check_plan(spark, statement)
+@pytest.mark.parametrize("statement", [
+    "SELECT * FROM Data", "WITH A AS (SELECT n FROM data) SELECT * FROM a WHERE n IN (SELECT n FROM A)", "TABLE data",
+    "SELECT d.n FROM data d, LATERAL (SELECT d.n + 1 AS m) WHERE m > 3", "SELECT 'parquet.`/any/path`' AS t FROM data; -- drop",
+    "WITH a AS (SELECT 1 AS n), b AS (SELECT n FROM a) SELECT count(*) FROM b JOIN data USING (n)",
+])
+def test_reading_sql_that_is_allowed(spark, statement):
+    files.register_views(spark.range(100).toDF("n"), ["data"])
+    assert suite.sql_readonly(spark, statement, 5).count() <= 5
 
 
 def test_hints_and_keywords_choose_the_target(spark):
