@@ -126,11 +126,12 @@ def _finished(s, df, name):
     return s.read.schema(df.schema).parquet(out)
 
 
-COUNTS = [F.count("*").alias("n_events"), F.sum(F.col("value").cast("decimal(28,10)")).cast("double").alias("total")]
+def _counts():
+    return [F.count("*").alias("n_events"), F.sum(F.col("value").cast("decimal(28,10)")).cast("double").alias("total")]
 
 
 def _windows(s, d, slide):
-    found = windowed(_stream(s, d), "ts", ["event_type"], COUNTS, "1 hour", slide, "2 hours")
+    found = windowed(_stream(s, d), "ts", ["event_type"], _counts(), "1 hour", slide, "2 hours")
     return _finished(s, found, "windows").select(_shown("window_start"), _shown("window_end"), "event_type", "n_events", "total")
 
 
@@ -160,7 +161,8 @@ def merged_sketches(s, d):
     return found.select("column_name", "distinct_estimate", "p25", "p50", "p75")
 
 
-TOTALS = [F.count("*").alias("n_lines"), F.sum(F.col("total_sales").cast("decimal(28,10)")).cast("double").alias("revenue")]
+def _totals():
+    return [F.count("*").alias("n_lines"), F.sum(F.col("total_sales").cast("decimal(28,10)")).cast("double").alias("revenue")]
 
 
 def _dims(s, d):
@@ -188,9 +190,9 @@ QUERIES = {
     "interval_join_full_bins": query(after_errors),
     "sessions_hot": query(user_sessions),
     "grouping_sets": query(lambda s, d: tablesets.grouping_sets(
-        _dims(s, d), [["region", "category"], ["order_status"], ["region"]], TOTALS)),
-    "rollup": query(lambda s, d: tablesets.rollup(_dims(s, d), ["region", "category"], TOTALS)),
-    "cube": query(lambda s, d: tablesets.cube(_dims(s, d), ["region", "category", "order_status"], TOTALS)),
+        _dims(s, d), [["region", "category"], ["order_status"], ["region"]], _totals())),
+    "rollup": query(lambda s, d: tablesets.rollup(_dims(s, d), ["region", "category"], _totals())),
+    "cube": query(lambda s, d: tablesets.cube(_dims(s, d), ["region", "category", "order_status"], _totals())),
     "multiset_difference": query(before_after_rows),
     "above_group_mean": query(above_mean),
     "stream_tumbling_windows": query(lambda s, d: _windows(s, d, None)),

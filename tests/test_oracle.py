@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest data."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -31,3 +33,10 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["order_month", "monthly_revenue", "order_volume", "prev_month_revenue", "mom_growth_pct"]
     assert df.count() > 0
+
+
+def test_registry_needs_no_session(tmp_path):
+    """The driver lists queries and SQL before it starts Spark."""
+    code = f"import sys; sys.path.insert(0, {entry.ROOT!r}); import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("True"), done.stderr[-500:]
