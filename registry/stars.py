@@ -65,6 +65,12 @@ QUERIES = {
     "banned_vocabulary_scan": query(
         lambda s, d: checks.banned_vocabulary_scan(table(s, d, "documents"), "documents", ["text"])
     ),
+    "banned_vocabulary_healthcare": query(
+        lambda s, d: checks.banned_vocabulary_scan(table(s, d, "documents"), "documents", ["text", "source"], domain="healthcare")
+    ),
+    "banned_vocabulary_finance": query(
+        lambda s, d: checks.banned_vocabulary_scan(table(s, d, "conversations"), "conversations", ["text"], domain="finance")
+    ),
     "banned_vocabulary_turns": query(
         lambda s, d: checks.banned_vocabulary_scan(table(s, d, "conversations"), "conversations", ["role", "text"])
     ),
@@ -82,16 +88,16 @@ COUNT(DISTINCT CASE WHEN {fk} NOT IN (SELECT {dk} FROM {dim}) THEN {fk} END) AS
 (SELECT COUNT(*) FROM (SELECT {dk} FROM {dim} GROUP BY 1 HAVING COUNT(*) > 1)) AS duplicate_dim_keys FROM {fact}"""
 
 
-def _banned(source: str, columns: list[str]) -> str:
+def _banned(source: str, columns: list[str], domain: str = "demographics") -> str:
     rows = [
         f"SELECT '{source}' AS table_name, '{c}' AS column_name, '{t}' AS term, 'symbol' AS kind, "
         f"COUNT(CASE WHEN contains({c}, '{t}') THEN 1 END) AS hits FROM {source}"
         for c in columns
-        for t in fixed.CURRENCY_SYMBOLS
+        for t in fixed.BANNED_SYMBOLS[domain]
     ] + [
-        f"SELECT '{source}', '{c}', '{t}', 'word', COUNT(CASE WHEN regexp_matches({c}, '(?i)\\b{t}\\b') THEN 1 END) FROM {source}"
+        f"SELECT '{source}' AS table_name, '{c}' AS column_name, '{t}' AS term, 'word' AS kind, COUNT(CASE WHEN regexp_matches({c}, '(?i)\\b{t}\\b') THEN 1 END) AS hits FROM {source}"
         for c in columns
-        for t in fixed.RETAIL_TERMS
+        for t in fixed.BANNED_TERMS[domain]
     ]
     return f"SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE hits > 0"
 
@@ -153,5 +159,7 @@ UNION ALL SELECT 'Average Growth', {rounded('AVG(historical_cagr_pct)', 4)} FROM
         + " FROM sales GROUP BY 1",
     ),
     "banned_vocabulary_scan": _banned("documents", ["text"]),
+    "banned_vocabulary_healthcare": _banned("documents", ["text", "source"], "healthcare"),
+    "banned_vocabulary_finance": _banned("conversations", ["text"], "finance"),
     "banned_vocabulary_turns": _banned("conversations", ["role", "text"]),
 }

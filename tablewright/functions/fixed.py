@@ -95,3 +95,11 @@ RETAIL_TERMS = [
     "revenue", "sales", "order", "product", "aov", "cart", "customer", "profit", "price", "transactions", "payment",
 ]
 CURRENCY_SYMBOLS = ["₹", "$", "€", "£"]
+# by domain (fixed values): what must not appear in texts about it
+BANNED_TERMS = {
+    "demographics": RETAIL_TERMS,
+    "healthcare": ["revenue", "sales", "order", "cart", "aov", "profit"],
+    "finance": ["patient", "cart", "shipment"],
+    "ecommerce": [],
+}
+BANNED_SYMBOLS = {"demographics": CURRENCY_SYMBOLS, "healthcare": CURRENCY_SYMBOLS, "finance": [], "ecommerce": []}

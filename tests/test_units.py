@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tablewright.functions import expr, fixed, fuzzy, roles
-from tablewright.operators import checks, clean, drivers, features, profile
+from tablewright.operators import checks, checks, clean, drivers, features, profile
 from tablewright.plans import suite
 from tablewright.sources import files
 
@@ -197,3 +197,12 @@ def test_inspect_view_counts(spark):
     files.register_views(column(spark, ["a", None, "a"]), ["small_view"])
     got = {r.column_name: (r.null_count, r.unique_count) for r in profile.inspect_view(spark, "small_view").collect()}
     assert got == {"i": (0, 3), "v": (1, 1)}
+
+
+def test_banned_words_of_a_domain(spark):
+    df = spark.createDataFrame([("ORDER order reorder",), ("a cart, $5",), (None,), ("net profit: €",), ("in-cart (b.c)",)], "t string")
+    found = {(r.term, r.kind, r.hits) for r in checks.banned_vocabulary_scan(df, "x", domain="healthcare").collect()}
+    assert found == {("order", "word", 1), ("cart", "word", 2), ("profit", "word", 1), ("$", "symbol", 1), ("€", "symbol", 1)}
+    own = checks.banned_vocabulary_scan(df, "x", ["t"], ["in-cart", "cart"], [])
+    assert {(r.term, r.hits) for r in own.collect()} == {("in-cart", 1), ("cart", 2)}
+    assert checks.banned_vocabulary_scan(df, "x", domain="ecommerce").count() == 0
