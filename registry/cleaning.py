@@ -52,6 +52,21 @@ def dates(s, d):
     return clean.parse_dates(_keys(s, d, "order_date"))
 
 
+def times(s, d):
+    """Event times as text in three layouts, one of them without a time of day."""
+    texts = table(s, d, "events").selectExpr("event_id", """CASE event_id % 3 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss')
+        WHEN 1 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") ELSE date_format(ts, 'dd.MM.yyyy') END AS event_time""")
+    return clean.parse_dates(texts, keep_time=True).select(
+        "event_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time")
+    )
+
+
+def sales_fixed_rows(s, d):
+    t = _keys(s, d, "quantity", "unit_price", "discount", "total_sales")
+    t = clean.clean_discount(clean.clean_price(clean.clean_quantity(t, "quantity"), "unit_price"), "discount")
+    return clean.recompute_sales(t, "total_sales", "quantity", "unit_price", "discount", only_bad_rows=True)
+
+
 def sales_fixed(s, d):
     t = _keys(s, d, "quantity", "unit_price", "discount", "total_sales")
     t = clean.clean_discount(clean.clean_price(clean.clean_quantity(t, "quantity"), "unit_price"), "discount")
@@ -110,6 +125,8 @@ QUERIES = {
     "fuzzy_standardize": query(fuzzy),
     "title_case_fallback": query(titles),
     "parse_dates_multi": query(dates),
+    "parse_dates_keep_time": query(times),
+    "recompute_sales_bad_rows": query(sales_fixed_rows),
     "clean_quantity": query(lambda s, d: clean.clean_quantity(_keys(s, d, "quantity"), "quantity")),
     "clean_price": query(lambda s, d: clean.clean_price(_keys(s, d, "unit_price"), "unit_price")),
     "clean_discount": query(lambda s, d: clean.clean_discount(_keys(s, d, "discount"), "discount")),
@@ -448,6 +465,15 @@ ORACLES = {
         query=f"SELECT transaction_id, region, {_number('unit_price')} AS unit_price, {_number('discount')} AS discount, "
         f"{_number('total_sales')} AS total_sales FROM trimmed",
     ),
+    "parse_dates_keep_time": """SELECT event_id, strftime(CASE WHEN event_id % 3 < 2 THEN date_trunc('second', ts)
+  ELSE date_trunc('day', ts) END, '%Y-%m-%d %H:%M:%S') AS event_time FROM events""",
+    "recompute_sales_bad_rows": sql(
+        *MATERIALIZED,
+        f"parts AS MATERIALIZED (SELECT transaction_id, {QUANTITY} AS quantity, {PRICE} AS unit_price, {DISCOUNT} AS discount, "
+        f"{_number('total_sales')} AS total_sales FROM trimmed)",
+        query=f"""SELECT transaction_id, quantity, unit_price, discount,
+CASE WHEN ABS(total_sales - {FORMULA}) > 5 OR total_sales > 100000 THEN {FORMULA} ELSE total_sales END AS total_sales FROM parts""",
+    ),
     "recompute_sales": sql(
         *MATERIALIZED,
         f"parts AS MATERIALIZED (SELECT transaction_id, {QUANTITY} AS quantity, {PRICE} AS unit_price, {DISCOUNT} AS discount, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,16 +75,44 @@ def title_case(c: Column) -> Column:
     return F.array_join(raised, "")
 
 
+def layout_shape(layout: str) -> str | None:
+    """A pattern that every text of the layout matches; None for layouts with parts other than dates and times of day."""
+    out = []
+    for part in re.finditer(r"'([^']*)'|([A-Za-z])\2*|(.)", layout):
+        literal, letter, other = part.groups()
+        width = len(part.group())
+        if not letter:
+            out.append(re.escape(other or literal))
+        elif letter == "M" and width > 2:  # a month by name
+            out.append(r"\D+")
+        elif letter == "y" and width == 4:
+            out.append(r"[+-]?\d{4,19}")
+        elif letter in "MdHms" and width <= 2:
+            out.append(r"\d{2}" if width == 2 else r"\d{1,19}")
+        else:
+            return None
+    return "^" + "".join(out) + "$"
+
+
+def _by_shape(text: Column, layouts: list[str], parse) -> Column:
+    """The first layout that fits; one whose shape differs from the text's is not tried, as a failed parse costs most."""
+    tried = []
+    for layout in layouts:
+        shape, found = layout_shape(layout), parse(text, layout)
+        tried.append(found if shape is None else F.when(text.rlike(shape), found))
+    return F.coalesce(*tried)
+
+
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     """First layout that fits, year-first layouts before day-first ones; null when none fits."""
-    text = trim_all(c.cast("string"))
-    return F.coalesce(*[F.try_to_date(text, f) for f in (formats or fixed.DATE_FORMATS)])
+    return _by_shape(trim_all(c.cast("string")), formats or fixed.DATE_FORMATS, F.try_to_date)
 
 
 def parse_datetime(c: Column, formats: list[str] | None = None) -> Column:
     """Like :func:`parse_date` but the time of day is kept."""
-    text = trim_all(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in (formats or fixed.DATE_FORMATS)])
+    return _by_shape(
+        trim_all(c.cast("string")), formats or fixed.DATE_FORMATS, lambda text, layout: F.try_to_timestamp(text, F.lit(layout))
+    )
 
 
 def to_number(c: Column) -> Column:

@@ -206,3 +206,24 @@ def test_banned_words_of_a_domain(spark):
     own = checks.banned_vocabulary_scan(df, "x", ["t"], ["in-cart", "cart"], [])
     assert {(r.term, r.hits) for r in own.collect()} == {("in-cart", 1), ("cart", 2)}
     assert checks.banned_vocabulary_scan(df, "x", domain="ecommerce").count() == 0
+
+
+def test_shapes_skip_only_layouts_that_fail(spark):
+    """Choosing layouts by shape gives what trying every layout gives."""
+    random.seed(11)
+    given = ["2024-02-29", "2023-02-29", "20240131", "1/2/2024", "31/12/2023", "12/31/2023", "05.06.2024", "5 March 2024", "05 Mar 2024",
+             "Mar 5, 2024", "March 15, 2024", "2024/01/05", "2024-01-05 10:11:12", "2024-01-05T10:11:12", "+12024-01-05", "x", "", None,
+             " 2024-01-05\t", "2024-1-5", "001/2/2024", "May 5, 2024", "5 mai 2024", "99999999", "2024-01-05 25:00:00"]
+    given += ["".join(random.choice("0123/-. ,MarT:") for _ in range(random.randint(6, 12))) for _ in range(300)]
+    df = column(spark, given)
+    spark.conf.set("spark.sql.legacy.timeParserPolicy", "CORRECTED")
+    try:
+        text = expr.trim_all(F.col("v"))
+        every = F.coalesce(*[F.try_to_date(text, f) for f in fixed.DATE_FORMATS])
+        times = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in fixed.DATE_FORMATS])
+        found = [expr.parse_date(F.col("v")), every, expr.parse_datetime(F.col("v")), times]
+        out = df.select("v", *[c.cast("string").alias(n) for c, n in zip(found, "abcd", strict=True)])  # Python has no year 12024
+        assert [r for r in out.collect() if r.a != r.b or r.c != r.d] == [] and out.where("a IS NOT NULL").count() >= 14
+    finally:
+        spark.conf.unset("spark.sql.legacy.timeParserPolicy")
+    assert expr.layout_shape("EEE yyyy") is None
