@@ -82,13 +82,15 @@ def mix_rates(
     names = {n: fresh(docs.columns, n) for n in ("size", "source_size", "target", "copies")}
     sized = docs.withColumn(names["size"], words(F.col(text)))
     shares = targets(source_sizes(sized, source, names["size"]), weights, most)
-    rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(F.lit(1.0))
+    of, held, aim = (fresh(sized.columns, n) for n in ("__source", "__size", "__target"))
+    shares = shares.select(F.col("__source").alias(of), F.col("__size").alias(held), F.col("__target").alias(aim))
+    rate = F.when(F.col(held) > 0, F.col(aim) / F.col(held)).otherwise(F.lit(1.0))
     whole = F.floor(rate)
     extra = uniform(seed, *[F.col(k) for k in key], F.col(text)) < rate - whole
-    joined = sized.join(shares, F.col(source).eqNullSafe(F.col("__source")), "left")
+    joined = sized.join(shares, F.col(source).eqNullSafe(F.col(of)), "left")
     return joined.select(
         *[sized[c] for c in docs.columns], sized[names["size"]],
-        F.col("__size").alias(names["source_size"]), F.col("__target").alias(names["target"]),
+        F.col(held).alias(names["source_size"]), F.col(aim).alias(names["target"]),
         (whole + extra.cast("long")).cast("long").alias(names["copies"]),
     )
 

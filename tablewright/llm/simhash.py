@@ -195,8 +195,9 @@ def simhash_groups(
     """
     own = [c for c in docs.columns if c != text]
     name, group = fresh(own, "fingerprint"), fresh(own, "component_id")
-    return _grouped(docs, id_col, text, size, threshold).select(
-        *own, F.lpad(F.lower(F.hex("__bits")), 16, "0").alias(name), F.col("__least").alias(group)
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"own{i}") for i, c in enumerate(own)])
+    return _grouped(plain, "id", "text", size, threshold).select(
+        *[F.col(f"own{i}").alias(c) for i, c in enumerate(own)], F.lpad(F.lower(F.hex("__bits")), 16, "0").alias(name), F.col("__least").alias(group)
     )
 
 
@@ -214,13 +215,14 @@ def representatives(
 
 def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
     """Of the rows (id, key, __root) of each component the document with the smallest id; ``key`` is the text's."""
+    own, stay_id, stay_key = (fresh(docs.columns, n) for n in ("__key", "__stay", "__stay_key"))
     stay = groups.groupBy("__root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("stay"))
-    stay = stored(stay.select(F.col("stay.id").alias("__stay"), F.col("stay.key").alias("__stay_key")), "representatives")
-    once = docs.withColumn("__key", tokens.text_key(F.col(text))).join(
-        stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (F.col("__key") == F.col("__stay_key"))
+    stay = stored(stay.select(F.col("stay.id").alias(stay_id), F.col("stay.key").alias(stay_key)), "representatives")
+    once = docs.withColumn(own, tokens.text_key(F.col(text))).join(
+        stay, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_key))
     )
     if groups.groupBy("id", "key").count().where("count > 1").limit(1).count():
-        once = once.dropDuplicates([id_col, "__key"])
+        once = once.dropDuplicates([id_col, own])
     return once.select(*docs.columns)
 
 
