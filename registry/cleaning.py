@@ -16,6 +16,7 @@ NAMES = ["order_id", "transaction_id", "order_date", "region", "category", "paym
 RAW = ["Order ID", "Transaction ID", "Order Date", " Region ", "Category", "Payment Method", "Quantity", "Unit Price",
        "Discount", "Total Sales", "Customer Satisfaction"]
 SETS = ["region", "category", "payment_method"]
+DONE = fixed.AUDIT_OPERATIONS
 
 
 def headed(s, d):
@@ -39,9 +40,7 @@ def aliases(s, d):
 
 def fuzzy(s, d):
     out = _keys(s, d, *SETS)
-    for c in SETS:
-        out = clean.fuzzy_standardize(out, c)
-    return out
+    return clean.fuzzy_standardize_all(out)
 
 
 def titles(s, d):
@@ -313,50 +312,50 @@ def _audit(column: str, operation: str, rationale: str, count: str) -> str:
 
 
 def _audit_sql() -> str:
-    rows = [_audit("all_headers", "Header Normalization", f"'{len(NAMES)} headers to snake case'", "0")]
+    rows = [_audit("all_headers", DONE["headers"], f"'{len(NAMES)} headers to snake case'", "0")]
     for n in NAMES:
         rows.append(
-            _audit(n, "Trimming & Null Placeholders", "'white space and placeholder texts'",
+            _audit(n, DONE["placeholders"], "'white space and placeholder texts'",
                    f"(SELECT COUNT(*) FROM headed WHERE {n} IS DISTINCT FROM ({_null_placeholder(n)}))")
         )
     for n in ["order_id", "transaction_id"]:
         rows.append(
-            _audit(n, "Id Suffix Removal", "'trailing .0 of numeric ids'",
+            _audit(n, DONE["id_suffix"], "'trailing .0 of numeric ids'",
                    f"(SELECT COUNT(*) FROM headed WHERE ({_null_placeholder(n)}) IS DISTINCT FROM "
                    f"{_no_zeros(_null_placeholder(n))})")
         )
-    rows.append(_audit("all_rows", "Empty Row Pruning", "'rows without any value'",
+    rows.append(_audit("all_rows", DONE["empty_rows"], "'rows without any value'",
                        "(SELECT COUNT(*) FROM headed) - (SELECT COUNT(*) FROM filled)"))
-    rows.append(_audit("entire_record", "Exact Deduplication", "'identical rows'",
+    rows.append(_audit("entire_record", DONE["duplicates"], "'identical rows'",
                        "(SELECT COUNT(*) FROM filled) - (SELECT COUNT(*) FROM uniq)"))
-    rows.append(_audit("transaction_id", "Primary Key Deduplication", "'rows sharing a key, first kept'",
+    rows.append(_audit("transaction_id", DONE["key_duplicates"], "'rows sharing a key, first kept'",
                        "(SELECT COUNT(*) FROM uniq) - (SELECT COUNT(*) FROM keyed)"))
     for c in SETS:
-        rows.append(_audit(c, "Categorical Standardization", "'aliases, closest label or title case'",
+        rows.append(_audit(c, DONE["categories"], "'aliases, closest label or title case'",
                            f"(SELECT COUNT(*) FROM repaired WHERE raw_{c} IS DISTINCT FROM {c})"))
-    rows.append(_audit("order_date", "Date Parsing & ISO Standardization", "'many layouts to ISO dates'",
+    rows.append(_audit("order_date", DONE["dates"], "'many layouts to ISO dates'",
                        "(SELECT COUNT(*) FROM repaired WHERE raw_order_date IS DISTINCT FROM "
                        "strftime(order_date, '%Y-%m-%d'))"))
     words = {
-        "quantity": ("Quantity Sign & Minimum Enforcement", "absolute value, at least 1"),
-        "unit_price": ("Price Currency Sanitization", "currency signs and negative signs removed"),
-        "discount": ("Discount Percentage Unification", "share between 0 and 0.99"),
-        "total_sales": ("Formula Anomaly & Outlier Correction", "quantity * price * (1 - discount)"),
-        "customer_satisfaction": ("Rating Sentinel Sanitization", "limited to the rating scale"),
+        "quantity": (DONE["quantity"], "absolute value, at least 1"),
+        "unit_price": (DONE["price"], "currency signs and negative signs removed"),
+        "discount": (DONE["discount"], "share between 0 and 0.99"),
+        "total_sales": (DONE["sales"], "quantity * price * (1 - discount)"),
+        "customer_satisfaction": (DONE["rating"], "limited to the rating scale"),
     }
     for c, (operation, why) in words.items():
         rows.append(_audit(c, operation, f"'{why}'",
                            f"(SELECT COUNT(*) FROM repaired WHERE raw_{c} IS DISTINCT FROM {c})"))
     for c in SETS:
-        rows.append(_audit(c, "Null Imputation (Mode)",
+        rows.append(_audit(c, DONE["mode"],
                            f"'most frequent value ''' || {_mode(c, 'repaired')} || ''''",
                            f"(SELECT COUNT(*) FROM repaired WHERE {c} IS NULL)"))
-    rows.append(_audit("order_date", "Null Imputation (Forward Fill)", "'last value before'",
+    rows.append(_audit("order_date", DONE["forward_fill"], "'last value before'",
                        "(SELECT COUNT(*) FROM repaired WHERE order_date IS NULL)"))
     steps = " UNION ALL ".join(rows)
     return (
         f"SELECT * FROM ({steps}) WHERE affected_rows > 0 OR operation IN "
-        "('Header Normalization', 'Categorical Standardization', 'Date Parsing & ISO Standardization')"
+        f"('{DONE['headers']}', '{DONE['categories']}', '{DONE['dates']}')"
     )
 
 

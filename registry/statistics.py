@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import fixed
 from tablewright.operators import stats
 
 from .inputs import SALES_CTE, query, rounded, sales, sql, table
@@ -103,10 +104,9 @@ def _summary(source: str, columns: list[str]) -> str:
     shape = """CASE WHEN skewness > 1 THEN 'right_skewed' WHEN skewness < -1 THEN 'left_skewed'
 WHEN kurtosis > 3 THEN 'heavy_tailed' WHEN CAST(zeros AS DOUBLE) / n > 0.3 THEN 'zero_inflated' ELSE 'normal_like' END"""
     figures = ["mean", "std", "min", "p25", "median", "p75", "max", "skewness", "kurtosis"]
+    advice = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.TRANSFORM_ADVICE.items())
     return (
-        "SELECT *, CASE distribution_shape WHEN 'right_skewed' THEN 'Log1p or Square Root' "
-        "WHEN 'left_skewed' THEN 'Power Transform / Square' WHEN 'heavy_tailed' THEN 'Robust Scaling (Interquartile)' "
-        "WHEN 'zero_inflated' THEN 'Two-part hurdle model' ELSE 'Standardization (Z-Score)' END AS recommended_transform "
+        f"SELECT *, CASE distribution_shape {advice} END AS recommended_transform "
         f"FROM (SELECT column_name, n AS count, {', '.join(f'{rounded(f, 2)} AS {f}' for f in figures)}, "
         f"{rounded('p75 - p25', 2)} AS iqr, {shape} AS distribution_shape FROM ({' UNION ALL '.join(parts)}))"
     )

@@ -152,6 +152,19 @@ def sales_amount(quantity_col: Column, price_col: Column, discount_col: Column |
     return half_up(gross if discount_col is None else gross * (F.lit(1.0) - discount_col), 2)
 
 
+def hashed(columns: list[tuple[Column, str]]) -> list[Column]:
+    """Two columns ``a`` and ``b``, 128 bits that stand for the values of (column, type as text).
+
+    Null is a value of its own in every place, and -0.0 is 0.0. Nested values count by their JSON text.
+    """
+    plain = [
+        F.to_json(c, {"ignoreNullFields": "false"}) if kind.startswith(("array", "map", "struct", "variant")) else c
+        for c, kind in columns
+    ]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in plain])
+    return [F.xxhash64(F.lit(seed), nulls, *plain).alias(name) for seed, name in ((1, "a"), (2, "b"))]
+
+
 def tier(c: Column, steps: list[tuple[float, str]], rest: str) -> Column:
     """Label of the first lower limit reached; null and everything below get ``rest``."""
     label = None

@@ -90,6 +90,35 @@ QUANTITY_NAMES = ["quantity", "qty", "units"]
 PRICE_NAMES = ["unit_price", "price", "cost_per_unit"]
 TARGET_WORDS = ["revenue", "sales", "churn", "margin", "profit", "ltv", "amount"]
 
+# Names of the operations in the audit trail, as they are shown.
+AUDIT_OPERATIONS = {
+    "headers": "Header Normalization",
+    "placeholders": "Trimming & Null Placeholders",
+    "id_suffix": "Id Suffix Removal",
+    "empty_rows": "Empty Row Pruning",
+    "duplicates": "Exact Deduplication",
+    "key_duplicates": "Primary Key Deduplication",
+    "categories": "Categorical Standardization",
+    "dates": "Date Parsing & ISO Standardization",
+    "quantity": "Quantity Sign & Minimum Enforcement",
+    "price": "Price Currency Sanitization",
+    "discount": "Discount Percentage Unification",
+    "rating": "Rating Sentinel Sanitization",
+    "sales": "Formula Anomaly & Outlier Correction",
+    "median": "Null Imputation (Median)",
+    "mode": "Null Imputation (Mode)",
+    "forward_fill": "Null Imputation (Forward Fill)",
+}
+
+# Advice for the shape of a distribution, as it is shown.
+TRANSFORM_ADVICE = {
+    "right_skewed": "Log1p or Square Root",
+    "left_skewed": "Power Transform / Square",
+    "heavy_tailed": "Robust Scaling (Interquartile)",
+    "zero_inflated": "Two-part hurdle model",
+    "normal_like": "Standardization (Z-Score)",
+}
+
 # Vocabulary that must not appear in non-retail output.
 RETAIL_TERMS = [
     "revenue", "sales", "order", "product", "aov", "cart", "customer", "profit", "price", "transactions", "payment",

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr, fixed, fuzzy, roles
-from ..session import materialize
-from . import order
+from ..session import materialize, materialize_parts
+from . import order, profile
 from .labels import closest_labels
 from .quantiles import column_quantiles
 
@@ -164,6 +164,43 @@ def fuzzy_standardize(
     return joined.select(*[settled.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
+def fuzzy_standardize_all(
+    df: DataFrame, kinds: dict[str, str] | None = None, cutoff: float = fixed.FUZZY_CUTOFF
+) -> DataFrame:
+    """``fuzzy_standardize`` of many columns (column: kind) by the fixed labels: one pass finds the distinct
+    open values of all of them, one table holds their labels, and Spark sees the size of each column's part.
+    """
+    kinds = category_columns(df) if kinds is None else kinds
+    if not kinds:
+        return df
+    columns = list(kinds)
+    alias = {c: _alias(F.col(c), fixed.ALIASES.get(kinds[c], {})) for c in columns}
+    opened = df.select(*[F.when(alias[c].isNull(), F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"v{i}").alias("value")) for i in range(len(columns))])
+    values = opened.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    values, _ = materialize(values, "values")
+    parts = []
+    for kind in sorted(set(kinds.values())):  # a few labels each
+        own = [i for i, c in enumerate(columns) if kinds[c] == kind]
+        best = fuzzy.best_label(fixed.CANONICAL[kind])(fuzzy.sorted_tokens(F.col("value")))
+        parts.append(values.where(F.col("place").isin(own)).withColumn("best", best))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    closest = F.when(F.col("best.score") >= cutoff, F.col("best.label"))
+    label = F.coalesce(closest, expr.title_case(expr.trim_all(F.col("value"))))
+    chosen = materialize_parts(scored.select("place", "value", label.alias("label")), "place", len(columns), "labels")
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
+    joined = df.withColumns({f"__alias{i}": alias[c] for i, c in enumerate(columns)}).withColumns({
+        f"__open{i}": F.coalesce(F.when(F.col(f"__alias{i}").isNull(), F.col(c)), spread) for i, c in enumerate(columns)
+    })
+    for i in range(len(columns)):
+        own = chosen[i].select(F.col("value").alias(f"__value{i}"), F.col("label").alias(f"__label{i}"))
+        joined = joined.join(own, F.col(f"__open{i}") == F.col(f"__value{i}"), "left")
+    settled = {c: F.coalesce(f"__alias{i}", f"__label{i}").alias(c) for i, c in enumerate(columns)}
+    return joined.select(*[settled.get(c, F.col(c)) for c in df.columns])
+
+
 def parse_dates(
     df: DataFrame, columns: list[str] | None = None, formats: list[str] | None = None, keep_time: bool = False
 ) -> DataFrame:
@@ -293,15 +330,9 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """
     if not columns:
         return {}
-    counts = (
-        df.select(*columns)
-        .unpivot([], columns, "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    best = counts.groupBy("column").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("best"))
-    found = {r["column"]: r["best"]["value"] for r in best.collect()}
+    counts = profile.value_counts(df, columns, keep_null=False)
+    best = profile.top_values(df, counts, 1, profile.text_sizes(df, columns)[1])
+    found = {r["column_name"]: r["value"] for r in best.collect()}
     return {c: found.get(c) or "Unknown" for c in columns}
 
 

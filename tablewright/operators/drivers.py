@@ -53,21 +53,17 @@ def ordinal_features(
 ) -> tuple[DataFrame, list[str]]:
     """Complete rows as doubles; texts become their position in sorted order.
 
-    The values of all texts are counted in one pass and numbered in ranges, so a text may have
-    any number of them. Each dictionary is joined back; Spark broadcasts the small ones.
+    The values of all texts are ranked in one pass over ranges, so a text may have
+    any number of them. Each dictionary is joined back from a folder of its own, so Spark broadcasts
+    the small ones whatever the size of the others.
     """
     features = features or feature_columns(df, target)
     texts = [c for c in features if c in set(roles.string_columns(df))]
     rows = df.select(target, *features).na.drop()
-    if texts:
-        values = rows.select(*texts).unpivot([], texts, "__column", "__value").distinct()
-        numbered, _ = materialize(order.global_row_number(values, ["__column", "__value"], "__number"), "dictionary")
-        starts = {r["__column"]: r["first"] for r in numbered.groupBy("__column").agg(F.min("__number").alias("first")).collect()}
-        for c in texts:
-            codes = numbered.where(F.col("__column") == c).select(
-                F.col("__value").alias(c), (F.col("__number") - starts.get(c, 0)).cast("double").alias("__code")
-            )
-            rows = rows.join(codes, c).drop(c).withColumnRenamed("__code", c)
+    dictionaries = order.value_ranks(rows, texts, "dense") if texts else {}
+    for c in texts:
+        codes = dictionaries[c].select(F.col("__value").alias(c), (F.col("__rank") - 1).cast("double").alias("__code"))
+        rows = rows.join(codes, c).drop(c).withColumnRenamed("__code", c)
     return rows.select(*[F.col(c).cast("double").alias(c) for c in [target, *features]]), features
 
 
@@ -78,6 +74,7 @@ def driver_importance(
     """Random forest importance in percent of the strongest features, with their direction."""
     spark = df.sparkSession
     coded, features = ordinal_features(df, target, features)
+    coded, _ = materialize(coded, "coded")  # read by the forest's rounds and for the directions
     # plain doubles: the assembler gets no category metadata, so codes are split as numbers
     assembled = VectorAssembler(inputCols=features, outputCol="__features").transform(coded)
     forest = RandomForestRegressor(

@@ -317,5 +317,11 @@ def running_total(df: DataFrame, value: str, order_by: list[str], buckets: int |
     return order.running_total(df, value, order_by, buckets=buckets)
 
 
-def dense_rank_desc(df: DataFrame, value: str, out: str | None = None, buckets: int | None = None) -> DataFrame:
-    return order.global_rank(df, value, out or f"{value}_rank", "dense", descending=True, buckets=buckets)
+def dense_rank_desc(
+    df: DataFrame, value: str, out: str | None = None, buckets: int | None = None, source: DataFrame | None = None
+) -> DataFrame:
+    """Place of the row's value among the different values, the largest first; null has none.
+
+    ``source`` may name an earlier, narrower table with the same values.
+    """
+    return order.ranked_by_value(df, {value: out or f"{value}_rank"}, "dense", True, buckets, source)

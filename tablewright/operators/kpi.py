@@ -40,15 +40,20 @@ def top_categories(
     )
 
 
-def lag_growth(df: DataFrame, period: str, value: str, previous: str, growth: str, digits: int = 2) -> DataFrame:
+def _growth(value: str, previous: str, digits: int) -> Column:
+    rise = F.try_divide(F.col(value) - F.col(previous), F.nullif(F.col(previous), F.lit(0)))
+    return half_up(rise * 100, digits)
+
+
+def lag_growth(
+    df: DataFrame, period: str, value: str, previous: str, growth: str, digits: int = 2, buckets: int | None = None
+) -> DataFrame:
     """Previous period and growth in percent, null when the previous value is 0.
 
-    For aggregated rows: one per period, so the single window partition stays small.
+    The periods may be any number: they are ordered over ranges.
     """
-    before = F.lag(value, 1).over(Window.orderBy(period))
-    return df.withColumn(previous, before).withColumn(
-        growth, half_up(F.try_divide(F.col(value) - F.col(previous), F.nullif(F.col(previous), F.lit(0))) * 100, digits)
-    )
+    rows = order.previous(df, value, [period], previous, buckets)
+    return rows.withColumn(growth, _growth(value, previous, digits))
 
 
 def monthly_mom(df: DataFrame, date: str = "order_date", sales: str = "total_sales") -> DataFrame:
@@ -58,9 +63,11 @@ def monthly_mom(df: DataFrame, date: str = "order_date", sales: str = "total_sal
         .groupBy("order_month")
         .agg(_sum2(sales).alias("monthly_revenue"), F.count("*").alias("order_volume"))
     )
-    return lag_growth(monthly, "order_month", "monthly_revenue", "prev_month_revenue", "mom_growth_pct").orderBy(
-        "order_month"
-    )
+    # one row per calendar month, so one window holds them
+    before = F.lag("monthly_revenue").over(Window.orderBy("order_month"))
+    return monthly.withColumn("prev_month_revenue", before).withColumn(
+        "mom_growth_pct", _growth("monthly_revenue", "prev_month_revenue", 2)
+    ).orderBy("order_month")
 
 
 def share_over_total(df: DataFrame, value: str, out: str, digits: int = 2) -> DataFrame:

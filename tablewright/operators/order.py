@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import half_up, money, money_rest
-from ..session import materialize
+from ..session import materialize, materialize_parts
 
 RANGE = "__range"
 
@@ -64,6 +64,18 @@ def running_total(
     return joined.select(*df.columns, F.when(F.col(value).isNotNull(), shown).alias(out))
 
 
+def previous(df: DataFrame, value: str, order_by: list[str], out: str, buckets: int | None = None) -> DataFrame:
+    """The value of the row before in the order of ``order_by``, then of the remaining columns."""
+    keys = [*order_by, *tie_breaks(df, order_by)]
+    cut = ranged(df, keys, buckets)
+    lasts = cut.groupBy(RANGE).agg(F.max_by(F.struct(value), F.struct(*keys)).alias("__last"))
+    carried = lasts.select(RANGE, F.lag("__last").over(Window.orderBy(RANGE)).getField(value).alias("__carry"))
+    local = Window.partitionBy(RANGE).orderBy(*keys)
+    joined = cut.join(F.broadcast(carried), RANGE)  # one row per range
+    before = F.when(F.row_number().over(local) == 1, F.col("__carry")).otherwise(F.lag(value).over(local))
+    return joined.select(*df.columns, before.alias(out))
+
+
 def forward_fill(df: DataFrame, columns: list[str], order_by: list[str], buckets: int | None = None) -> DataFrame:
     """Replace nulls by the last value before them in the order of ``order_by``, then of the remaining columns."""
     keys = [*order_by, *tie_breaks(df, order_by)]
@@ -133,6 +145,56 @@ def global_rank(
     return result.unionByName(cut.where(v.isNull()).select(*df.columns, F.lit(None).cast(kind).alias(out)))
 
 
+def value_ranks(
+    df: DataFrame, columns: list[str], method: str = "average", descending: bool = False, buckets: int | None = None
+) -> dict[str, DataFrame]:
+    """For each column a table of its values and their ranks (``__value``, ``__rank``): ``dense``, ``min`` or ``average``.
+
+    The different values of all columns of a type are counted in one pass, cut in ranges by (column, value)
+    and written once, each column in a folder of its own. Null has no rank.
+    """
+    kinds = dict(df.dtypes)
+    result = {}
+    for kind in sorted({kinds[c] for c in columns}):
+        own = [c for c in columns if kinds[c] == kind]
+        cells = F.array(*[F.struct(F.lit(i).alias("__place"), F.col(f"`{c}`").alias("__value")) for i, c in enumerate(own)])
+        counted = df.select(F.inline(cells)).where(F.col("__value").isNotNull()).groupBy("__place", "__value").agg(
+            F.count("*").alias("__n")
+        )
+        n, way = F.col("__n"), F.col("__value").desc() if descending else F.col("__value").asc()
+        cut = ranged(counted, ["__place", way], buckets)
+        size = F.lit(1) if method == "dense" else n
+        earlier = Window.partitionBy("__place").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        # one row per range, and one more for each column that begins inside a range
+        offsets = cut.groupBy(RANGE, "__place").agg(F.sum(size).alias("__sum")).select(
+            RANGE, "__place", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before")
+        )
+        local = Window.partitionBy(RANGE, "__place").orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+        through = F.sum(size).over(local) + F.col("__before")
+        rank = {"dense": through, "min": through - n + 1, "average": through - (n - 1) / 2}[method]
+        placed = cut.join(F.broadcast(offsets), [RANGE, "__place"]).select(
+            "__place", "__value", rank.cast("double" if method == "average" else "bigint").alias("__rank")
+        )
+        result |= dict(zip(own, materialize_parts(placed, "__place", len(own), "ranks"), strict=True))
+    return result
+
+
+def ranked_by_value(
+    df: DataFrame, out: dict[str, str], method: str = "average", descending: bool = False, buckets: int | None = None,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """The rows with the ranks of their values (column: new column), as ``global_rank`` gives them.
+
+    Rows are joined to ``value_ranks``: a table with few values is broadcast by its size, and of a value with
+    many rows Spark splits the rows. ``source`` may name an earlier table with the same values.
+    """
+    tables = value_ranks(df if source is None else source, list(out), method, descending, buckets)
+    for i, (c, name) in enumerate(out.items()):
+        ranks = tables[c].select(F.col("__value").alias(f"__value{i}"), F.col("__rank").alias(name))
+        df = df.join(ranks, F.col(f"`{c}`") == F.col(f"__value{i}"), "left").drop(f"__value{i}")
+    return df
+
+
 def global_row_number(df: DataFrame, order_by: list[str], out: str, buckets: int | None = None) -> DataFrame:
     """1, 2, 3, ... in the order of ``order_by``, then of the remaining columns."""
     keys = [*order_by, *tie_breaks(df, order_by)]

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, roles
-from ..functions.expr import half_up, is_placeholder
+from ..functions.expr import half_up, hashed, is_placeholder
+from ..session import materialize
 from .quantiles import exact_quantiles
 
 COLUMNS_PER_PASS = 200
 CATEGORY_LIMIT = 50
+#: characters of a text that are a key as they are; longer texts are counted by these and 128 bits
+HEAD = 64
 
 
 def _rows_from_wide(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
@@ -76,19 +79,14 @@ def inspect_view(
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, unique_count) of every column; null counts as one value.
 
-    One narrow shuffle of (column, value). Many ``count_distinct`` in one aggregate would
-    shuffle every column once per column.
+    One narrow shuffle of (column, 128 bits of the value), whatever the length of a text. Many
+    ``count_distinct`` in one aggregate would shuffle every column once per column.
     """
     columns = columns or df.columns
-    kinds = {f.name: f.dataType for f in df.schema}
-    # adding zero makes -0.0 and 0.0 one value, as they are equal
-    plain = [
-        (_cell(c) + 0.0 if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else _cell(c)).cast("string").alias(c)
-        for c in columns
-    ]
+    kinds = dict(df.dtypes)
     names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (i, c)])
     cells = F.array(
-        *[F.struct(F.lit(i).alias("position"), plain[i].alias("value")) for i in range(len(columns))]
+        *[F.struct(F.lit(i).alias("position"), *hashed([(_cell(c), kinds[c])])) for i, c in enumerate(columns)]
     )
     seen = df.select(F.inline(cells)).distinct().groupBy("position").agg(F.count("*").alias("n"))
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("position"))
@@ -164,31 +162,62 @@ def profile_role(df: DataFrame) -> DataFrame:
     )
 
 
+def text_sizes(df: DataFrame, columns: list[str]) -> tuple[int, list[str]]:
+    """Number of rows, and the columns with a text longer than ``HEAD``."""
+    longer = [F.max(F.length(_cell(c).cast("string")) > HEAD).alias(f"c{i}") for i, c in enumerate(columns)]
+    row = df.agg(F.count("*").alias("rows"), *longer).first()
+    return row["rows"], [c for i, c in enumerate(columns) if row[f"c{i}"]]
+
+
+def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, text, head, a, b): the first characters, and 128 bits of texts longer than these."""
+    long = df.select(*[_cell(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column_name", "text")
+    text = F.col("text")
+    return long.select(
+        "column_name", "text", F.substring(text, 1, HEAD).alias("head"),
+        *[F.when(F.length(text) > HEAD, F.xxhash64(F.lit(seed), text)).alias(name) for seed, name in ((1, "a"), (2, "b"))],
+    )
+
+
 def value_counts(df: DataFrame, columns: list[str], keep_null: bool = True) -> DataFrame:
-    """(column, value, n) of every value; null is a value of its own unless dropped."""
-    texts = df.select(*[_cell(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot([], columns, "column_name", "value")
-    long = long if keep_null else long.where(F.col("value").isNotNull())
-    return long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    """(column_name, head, a, b, n) of every value; null is a value of its own unless dropped.
+
+    A key is as long as ``HEAD`` allows and no longer, so whole texts are not shuffled.
+    """
+    long = _texts(df, columns)
+    long = long if keep_null else long.where(F.col("text").isNotNull())
+    return long.groupBy("column_name", "head", "a", "b").agg(F.count("*").alias("n"))
 
 
-def top_values(counts: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values per column, ties by value with null last.
+def top_values(df: DataFrame, counts: DataFrame, k: int, wide: list[str]) -> DataFrame:
+    """(column_name, value, n, place): the k most frequent values per column, ties by value with null last.
 
-    The limit on ``row_number`` is applied before the shuffle as well (group limit).
+    ``counts`` are those of ``df``, and ``wide`` its columns with texts beyond ``HEAD``. Whole texts are
+    read for the values that can be among the first k only. The limits on the ranks are applied before
+    the shuffle as well (group limit).
     """
-    place = F.row_number().over(
-        Window.partitionBy("column_name").orderBy(F.desc("n"), F.col("value").asc_nulls_last())
-    )
-    return counts.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
+    by_column = Window.partitionBy("column_name")
+    if wide:
+        near = F.rank().over(by_column.orderBy(F.desc("n"), F.col("head").asc_nulls_last()))
+        counts, _ = materialize(counts.withColumn("near", near).where(F.col("near") <= k).drop("near"), "near")
+        wanted = counts.where("a IS NOT NULL").select("column_name", "a", "b")
+        found = _texts(df, wide).where("a IS NOT NULL").join(wanted, ["column_name", "a", "b"])
+        texts = found.groupBy("column_name", "a", "b").agg(F.any_value("text").alias("text"))
+        counts = counts.join(texts, ["column_name", "a", "b"], "left")
+        value = F.coalesce("text", "head")
+    else:
+        value = F.col("head")
+    valued = counts.select("column_name", value.alias("value"), "n")
+    place = F.row_number().over(by_column.orderBy(F.desc("n"), F.col("value").asc_nulls_last()))
+    return valued.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
 
 
 def profile_top_categories(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     columns = columns or roles.dimension_columns(df)
-    rows = max(df.count(), 1)
-    return top_values(value_counts(df, columns), k).select(
+    rows, wide = text_sizes(df, columns)
+    return top_values(df, value_counts(df, columns), k, wide).select(
         "column_name", "place", F.coalesce("value", F.lit("null")).alias("category"), F.col("n").alias("count"),
-        half_up(F.col("n") * 100.0 / F.lit(float(rows)), 1).alias("percentage"),
+        half_up(F.col("n") * 100.0 / F.lit(float(max(rows, 1))), 1).alias("percentage"),
     )
 
 
@@ -231,10 +260,10 @@ def profile_outlier_count(df: DataFrame, columns: list[str] | None = None) -> Da
 def profile_full(df: DataFrame) -> DataFrame:
     """Missing, unique and duplicate shares for every column; moments, quartile-based outliers
     and median for numbers; range for dates; most frequent value for texts."""
-    rows_total = df.count()
     numbers = [f.name for f in df.schema if _type_role(f) == "numerical"]
     dates = set(roles.date_columns(df))
     texts = roles.string_columns(df)
+    rows_total, wide_texts = text_sizes(df, texts)
     from .quantiles import column_quantiles
 
     quartiles = column_quantiles(df, numbers, [0.25, 0.5, 0.75])
@@ -280,7 +309,7 @@ def profile_full(df: DataFrame) -> DataFrame:
     )
     if not texts:
         return out.withColumn("mode_val", F.lit(None).cast("string"))
-    mode = top_values(value_counts(df, texts), 1).select(
+    mode = top_values(df, value_counts(df, texts), 1, wide_texts).select(
         "column_name", F.coalesce("value", F.lit("null")).alias("mode_val")
     )
     joined = out.join(F.broadcast(mode), "column_name", "left")  # one row per text column
@@ -311,8 +340,9 @@ def null_cells(df: DataFrame) -> Column:
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows: one grouped count over all columns."""
-    groups = df.groupBy(*[_cell(c) for c in df.columns]).agg(F.count("*").alias("__n"))
+    """Rows beyond the first of each set of equal rows: one grouped count over 128 bits of each row."""
+    keys = df.select(*hashed([(_cell(c), kind) for c, kind in df.dtypes]))
+    groups = keys.groupBy("a", "b").agg(F.count("*").alias("__n"))
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"),
         F.count("*").alias("distinct_rows"),

@@ -18,6 +18,7 @@ from ..functions import expr, fixed, roles
 from ..operators import clean, profile
 from ..session import materialize
 
+DONE = fixed.AUDIT_OPERATIONS
 AUDIT_SCHEMA = "column string, operation string, rationale string, affected_rows bigint"
 
 
@@ -91,7 +92,7 @@ def clean_pipeline(
     headed = clean.normalize_headers(raw)
     renamed = sum(a != b for a, b in zip(raw.columns, headed.columns))
     if renamed:
-        audit.append(("all_headers", "Header Normalization", f"{renamed} headers to snake case", 0))
+        audit.append(("all_headers", DONE["headers"], f"{renamed} headers to snake case", 0))
 
     texts = roles.string_columns(headed)
     ids = [c for c in texts if roles.is_id(c)]
@@ -106,10 +107,10 @@ def clean_pipeline(
     first = _counts(headed, measures)
     for c in texts:
         if first[f"trim {c}"]:
-            audit.append((c, "Trimming & Null Placeholders", "white space and placeholder texts", first[f"trim {c}"]))
+            audit.append((c, DONE["placeholders"], "white space and placeholder texts", first[f"trim {c}"]))
     for c in ids:
         if first[f"suffix {c}"]:
-            audit.append((c, "Id Suffix Removal", "trailing .0 of numeric ids", first[f"suffix {c}"]))
+            audit.append((c, DONE["id_suffix"], "trailing .0 of numeric ids", first[f"suffix {c}"]))
     raw_duplicates = profile.duplicate_row_count(headed).first()["duplicate_rows"]
 
     filled = clean.drop_empty_rows(trimmed)
@@ -133,8 +134,7 @@ def clean_pipeline(
     numbers = [c for c in business.present() if c in texts]
     watched = [*sets, *dates, *numbers]
     work = keyed.withColumns({f"__raw_{c}": F.col(c) for c in watched}) if watched else keyed
-    for c, kind in sets.items():
-        work = clean.fuzzy_standardize(work, c, kind)
+    work = clean.fuzzy_standardize_all(work, sets)
     work = clean.parse_dates(work, dates)
     if business.rating:
         replacement = clean.rating_replacement(keyed, business.rating)
@@ -190,21 +190,21 @@ def clean_pipeline(
     empty = first["rows"] - rows_filled
     exact = rows_filled - rows_distinct
     if empty:
-        audit.append(("all_rows", "Empty Row Pruning", "rows without any value", empty))
+        audit.append(("all_rows", DONE["empty_rows"], "rows without any value", empty))
     if exact:
-        audit.append(("entire_record", "Exact Deduplication", "identical rows", exact))
+        audit.append(("entire_record", DONE["duplicates"], "identical rows", exact))
     if key_copies:
-        audit.append((",".join(key), "Primary Key Deduplication", "rows sharing a key, first kept", key_copies))
+        audit.append((",".join(key), DONE["key_duplicates"], "rows sharing a key, first kept", key_copies))
     for c in sets:
-        audit.append((c, "Categorical Standardization", "aliases, closest label or title case", second[f"set {c}"]))
+        audit.append((c, DONE["categories"], "aliases, closest label or title case", second[f"set {c}"]))
     for c in dates:
-        audit.append((c, "Date Parsing & ISO Standardization", "many layouts to ISO dates", second[f"date {c}"]))
+        audit.append((c, DONE["dates"], "many layouts to ISO dates", second[f"date {c}"]))
     wording = {
-        business.quantity: ("Quantity Sign & Minimum Enforcement", "absolute value, at least 1"),
-        business.price: ("Price Currency Sanitization", "currency signs and negative signs removed"),
-        business.discount: ("Discount Percentage Unification", "share between 0 and 0.99"),
-        business.rating: ("Rating Sentinel Sanitization", "limited to the rating scale"),
-        business.sales: ("Formula Anomaly & Outlier Correction", "quantity * price * (1 - discount)"),
+        business.quantity: (DONE["quantity"], "absolute value, at least 1"),
+        business.price: (DONE["price"], "currency signs and negative signs removed"),
+        business.discount: (DONE["discount"], "share between 0 and 0.99"),
+        business.rating: (DONE["rating"], "limited to the rating scale"),
+        business.sales: (DONE["sales"], "quantity * price * (1 - discount)"),
     }
     for c in numbers:
         if second[f"number {c}"]:
@@ -222,13 +222,13 @@ def clean_pipeline(
     chosen = clean.modes(staged, modal)
     done = clean.impute_mode(clean.impute_median(staged, medians) if medians else staged, chosen=chosen)
     for c in medians:
-        audit.append((c, "Null Imputation (Median)", "column median", holes[c]))
+        audit.append((c, DONE["median"], "column median", holes[c]))
     for c in modal:
-        audit.append((c, "Null Imputation (Mode)", f"most frequent value '{chosen[c]}'", holes[c]))
+        audit.append((c, DONE["mode"], f"most frequent value '{chosen[c]}'", holes[c]))
     if rest and order_by:
         done = clean.forward_fill(done, rest, order_by)
         for c in rest:
-            audit.append((c, "Null Imputation (Forward Fill)", "last value before", holes[c]))
+            audit.append((c, DONE["forward_fill"], "last value before", holes[c]))
     cleaned = done.select(*visible)
 
     spread = [*numbers, *earlier]

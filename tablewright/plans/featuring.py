@@ -140,6 +140,6 @@ def feature_pipeline(
         if order_by:
             _step(result, "window", lambda d: features.running_total(d, sales, order_by, buckets),
                   lambda c: f"sum({sales}) over (order by {', '.join(order_by)})")
-        _step(result, "window", lambda d: features.dense_rank_desc(d, sales, buckets=buckets),
+        _step(result, "window", lambda d: features.dense_rank_desc(d, sales, buckets=buckets, source=base),
               lambda c: f"dense_rank() over (order by {sales} desc)")
     return result

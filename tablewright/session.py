@@ -71,4 +71,22 @@ def materialize(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
     """
     path = scratch_path(df.sparkSession, f"{name}.parquet")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize_parts(df: DataFrame, by: str, n: int, name: str = "parts") -> list[DataFrame]:
+    """Write the table once, with a folder for each value 0 to n - 1 of the column ``by``, and read each alone.
+
+    Spark then knows the size of every part before it joins it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}.parquet")
+    df.write.partitionBy(by).parquet(path)
+    rest = df.drop(by)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = []
+    for i in range(n):
+        folder = f"{path}/{by}={i}"
+        there = files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+        parts.append(spark.read.schema(rest.schema).parquet(folder) if there else rest.limit(0))
+    return parts
