@@ -3,7 +3,8 @@
 Every record is a gzip member of its own. Spark's text writer puts the members into files of
 the shared folder, with an empty member as separator, so the files are plain ``.warc.gz``
 content on any file system Spark knows. Files are read back whole, one at a time per task;
-``records_per_file`` bounds them.
+``records_per_file`` and ``bytes_per_file`` bound them. Spark's writer closes a file after a number of
+rows, so a member of many bytes is followed by empty rows, which are further empty members.
 
 The reader checks the checksum of each member, the length of each record and the digest of its
 block. After a failed check it looks for the next member or version line that passes, goes on
@@ -33,6 +34,8 @@ EMPTY_MEMBER = MAGIC + bytes([0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0]
 #: payloads of fewer bytes are never replaced by a revisit
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 20_000
+#: a file holds no more than this and its last member
+BYTES_PER_FILE = 1 << 26
 LEVEL = 1
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,12 +47,18 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
+def _named(page: int | str | None) -> str:
+    return "<urn:page:" + ("" if page is None else quote(str(page), safe="")) + ">"
+
+
+def record(
+    page: int | str | None, url: str | None, payload: bytes, digest: str, refers: int | str | None, revisit: bool
+) -> bytes:
     """The bytes of a record, its block being the payload, or nothing for a revisit."""
     block = b"" if revisit else payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"),
+        ("WARC-Record-ID", _named(page)),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", str(len(payload))),
@@ -59,33 +68,35 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     if url is not None:
         fields.append(("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=~")))
     if revisit:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{'' if refers is None else refers}>")]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", _named(refers))]
     head = b"".join(f"{k}: {v}\r\n".encode() for k, v in fields)
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns page, url, html, digest, refers, revisit become one member per row."""
+def _members(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Columns page, url, html, digest, refers, revisit become one member per row, and an empty one for every ``share`` bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            columns = [c.to_pylist() for c in batch.slice(at, 256).columns]
-            made = [
-                member(record(page, url, (html or "").encode(), digest, refers, revisit))
-                for page, url, html, digest, refers, revisit in zip(*columns, strict=True)
-            ]
+        step = max(1, min(256, (batch.num_rows << 23) // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            columns = [c.to_pylist() for c in batch.slice(at, step).columns]
+            made = []
+            for page, url, html, digest, refers, revisit in zip(*columns, strict=True):
+                made.append(member(record(page, url, (html or "").encode(), digest, refers, revisit)))
+                made += [b""] * (len(made[-1]) // share)
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
 
 
 def write_pages(
     pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-    least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE,
+    least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE,
 ) -> None:
     """Writes one record per row to a new folder.
 
     Of the rows with equal payloads (html as UTF-8; null: empty) of ``least_bytes`` or more, that
     with the smallest id is a response and the others are revisits of it; rows that share this id
     too are all responses, and without any id all are. A null id is never the smallest. Null URLs
-    have no field; other URLs are percent-encoded.
+    have no field; other URLs are percent-encoded, and so are ids, which may be numbers or texts. An empty
+    table gives archives without records. Smaller payloads meet no partner and are spread over the join.
     """
     digest = F.sha2(F.coalesce(F.col(html), F.lit("")).cast("binary"), 256)
     rows = pages.select(
@@ -95,10 +106,14 @@ def write_pages(
     firsts = pages.where(size >= least_bytes).groupBy(digest.alias("of")).agg(
         F.min(page_id).alias("first"), F.count("*").alias("n")
     ).where("n > 1").select("of", "first")
-    told = rows.join(firsts, F.col("digest") == F.col("of"), "left")
+    small = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) < least_bytes
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64("page", "url"), F.lit(4096)).cast("string"))
+    told = rows.withColumn("met", F.when(small, spread).otherwise(F.col("digest"))).join(
+        firsts, F.col("met") == F.col("of"), "left"
+    )
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     made = told.select("page", "url", "html", "digest", F.col("first").alias("refers"), revisit.alias("revisit")).mapInArrow(
-        _members, "member binary"
+        partial(_members, share=max(1, bytes_per_file // records_per_file)), "member binary"
     )
     made.select(F.col("member").cast("string").alias("value")).write.option(
         "lineSep", EMPTY_MEMBER.decode("latin-1")
@@ -197,6 +212,21 @@ def _inside(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, b
         yield gap, len(content), None, reason
 
 
+class _Places:
+    """The next member or version line of the data; each is searched once, however often a check fails."""
+
+    def __init__(self, data: bytes):
+        self.data, self.next = data, {MAGIC: -1, VERSION[:7]: -1}
+
+    def after(self, at: int) -> int:
+        """The first place at or behind one that never goes back; the end if there is none."""
+        for mark, place in self.next.items():
+            if place < at:
+                found = self.data.find(mark, at)
+                self.next[mark] = len(self.data) if found < 0 else found
+        return min(self.next.values())
+
+
 def _unit(data: bytes, at: int) -> tuple[list[tuple[dict[str, str] | None, bytes | str]], int, str | None]:
     """What the member or bare record at a place has, the place to go on, and why the member failed.
 
@@ -237,15 +267,14 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     member that fails as a whole begins where the member does, whatever of it was saved; the
     records saved from it end where the last of them does.
     """
-    at, gap, reason = 0, -1, ""
+    at, gap, reason, places = 0, -1, "", _Places(data)
     while at < len(data):
         try:
             found, end, failed = _unit(data, at)
         except Damaged as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            places = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION[:7], at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+            at = places.after(at + 1)
             continue
         if gap >= 0:
             yield gap, at, None, reason
@@ -254,26 +283,28 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             yield at, end, fields, block
         if failed:
             gap, reason = at, failed
-            places = [p for p in (data.find(MAGIC, end), data.find(VERSION[:7], end)) if p >= 0]
-            end = min(places, default=len(data))
+            end = places.after(end)
         at = end
     if gap >= 0:
         yield gap, len(data), None, reason
 
 
 SCHEMA = (
-    "file string, start long, end long, gap string, record_type string, page_id long, url string, refers_to long, "
+    "file string, start long, end long, gap string, record_type string, page_id {ids}, url string, refers_to {ids}, "
     "payload_digest string, payload_bytes long, payload binary"
 )
 
 
-def _urn(value: str | None) -> int | None:
-    number = (value or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number.lstrip("-").isdigit() else None
+def _urn(value: str | None, ids: str) -> int | str | None:
+    name = unquote((value or "").removeprefix("<urn:page:").removesuffix(">"))
+    if ids == "string":
+        return name or None
+    return int(name) if name.removeprefix("-").isdecimal() else None
 
 
-def _read(batches: Iterator[pa.RecordBatch], payloads: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 2, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+def _read(batches: Iterator[pa.RecordBatch], payloads: bool, names: list[str], ids: str) -> Iterator[pa.RecordBatch]:
+    page = pa.string() if ids == "string" else pa.int64()
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 2, page, pa.string(), page, pa.string(), pa.int64(), pa.binary()]
 
     def flush(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -290,8 +321,8 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool, names: list[str]) -
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
                     uri = fields.get("warc-target-uri")
                     rows.append((
-                        file, start, end, None, fields.get("warc-type"), _urn(fields.get("warc-record-id")),
-                        None if uri is None else unquote(uri), _urn(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
+                        file, start, end, None, fields.get("warc-type"), _urn(fields.get("warc-record-id"), ids),
+                        None if uri is None else unquote(uri), _urn(fields["warc-refers-to"], ids) if "warc-refers-to" in fields else None,
                         digest if revisit else hashlib.sha256(block).hexdigest(),
                         int(fields.get("x-payload-length", 0)) if revisit else len(block), block if payloads else None,
                     ))
@@ -303,16 +334,21 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool, names: list[str]) -
                 yield flush(rows)
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, ids: str = "long") -> DataFrame:
     """One row per record or gap of the archives in a folder.
 
     Records: file, start and end (of the member), record_type, page_id, url, refers_to,
     payload_digest and payload_bytes (of a revisit: as written in its head), payload (with
     ``payloads``). Gaps: file, start, end and the reason in gap; the bytes stay where they are.
+    ``ids`` is the type of the pages' ids, long or string; an id that does not fit is null, and so is the
+    empty text. Archives without records give no rows.
     """
+    if ids not in ("long", "string"):
+        raise ValueError(f"ids are long or string, not {ids}")
+    schema = SCHEMA.format(ids=ids)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-    return files.mapInArrow(partial(_read, payloads=payloads, names=names), SCHEMA)
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return files.mapInArrow(partial(_read, payloads=payloads, names=names, ids=ids), schema)
 
 
 def op4_warc_salvage(spark, sf_dir):
