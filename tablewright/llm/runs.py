@@ -328,7 +328,8 @@ def repeats(
         hits = F.col("hits")
     moved = F.transform(hits, lambda h: F.struct((F.col("start") + h["start"]).alias("start"), h["n"].alias("n")))
     joined = held.join(found, (F.col("core") == F.col("of_core")) & (F.col("run") == F.col("of_run")))
-    return joined.groupBy("id", "key").agg(F.flatten(F.collect_list(moved)).alias("hits"))
+    # rows that are equal have the same hits: a set, so that each gets its own and not those of all
+    return joined.groupBy("id", "key").agg(F.flatten(F.collect_set(moved)).alias("hits"))
 
 
 def _cover(hits, n: int, length: int) -> np.ndarray:
