@@ -213,6 +213,7 @@ def boxplot_stats(
 ) -> DataFrame:
     """Per category: quartiles, mean, whiskers and outliers of the values up to the 95th percentile."""
     known = df.select(category, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    known, _ = materialize(known, "known")  # two columns, read by every round of both quantiles and for the result
     if top is not None:
         cut = column_quantiles(known, ["__x"], [top])["__x"]
         known = known.where(F.col("__x") <= (cut[0] if cut else 0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import inputs
 from tablewright.functions import expr, fixed
+from tablewright.operators import charts
 from tablewright.session import METHOD_BYTES, METHOD_LIMIT
 
 TABLES = {
@@ -62,3 +63,20 @@ def test_trim_takes_all_white_space_and_nothing_else(spark):
     listed = F.lower(old).isin(fixed.PLACEHOLDERS)
     odd = spark.createDataFrame([(t,) for t in [" UNDEFINED　", "unKnown", "undefined.", "İ" * 9, "nil", None]], "t string")
     assert odd.where(~expr.null_placeholder(F.col("t")).eqNullSafe(F.when(listed, None).otherwise(old))).count() == 0
+
+
+def _counted(spark, rows, schema):
+    """A table that counts how often a row of it is made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(made), schema), seen
+
+
+def test_boxplot_makes_its_input_once(spark):
+    df, seen = _counted(spark, [("ab"[i % 2], float(i)) for i in range(200)], "c string, x double")
+    assert {r["n"] for r in charts.boxplot_stats(df, "c", "x").collect()} == {95}
+    assert seen.value == 200
