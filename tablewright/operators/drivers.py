@@ -13,6 +13,10 @@ from ..functions.expr import correlation, half_up, money_avg, rounded_sum
 from ..session import materialize
 from . import order
 
+#: rows that a task of the forest holds, some 400 bytes each for 50 trees
+FOREST_ROWS = 250_000
+
+
 def variances(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or roles.numeric_columns(df)
     cells = [
@@ -67,6 +71,16 @@ def ordinal_features(
     return rows.select(*[F.col(c).cast("double").alias(c) for c in [target, *features]]), features
 
 
+def _dealt(coded: DataFrame, rows_per_task: int = FOREST_ROWS) -> DataFrame:
+    """The rows in parts of a bounded number of rows.
+
+    Files are split by bytes, and codes take so few that one split can hold many millions of rows,
+    each of which the forest keeps with its counts for all trees.
+    """
+    parts = -(-coded.count() // rows_per_task)
+    return coded.repartition(parts) if parts > coded.rdd.getNumPartitions() else coded
+
+
 def driver_importance(
     df: DataFrame, target: str, features: list[str] | None = None, top: int = 5, trees: int = 50, depth: int = 5,
     seed: int = 42,
@@ -76,7 +90,7 @@ def driver_importance(
     coded, features = ordinal_features(df, target, features)
     coded, _ = materialize(coded, "coded")  # read by the forest's rounds and for the directions
     # plain doubles: the assembler gets no category metadata, so codes are split as numbers
-    assembled = VectorAssembler(inputCols=features, outputCol="__features").transform(coded)
+    assembled = VectorAssembler(inputCols=features, outputCol="__features").transform(_dealt(coded))
     forest = RandomForestRegressor(
         featuresCol="__features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import inputs
 from tablewright.functions import expr, fixed
-from tablewright.operators import charts
+from tablewright.operators import charts, drivers
 from tablewright.session import METHOD_BYTES, METHOD_LIMIT
 
 TABLES = {
@@ -80,3 +80,11 @@ def test_boxplot_makes_its_input_once(spark):
     df, seen = _counted(spark, [("ab"[i % 2], float(i)) for i in range(200)], "c string, x double")
     assert {r["n"] for r in charts.boxplot_stats(df, "c", "x").collect()} == {95}
     assert seen.value == 200
+
+
+def test_forest_takes_parts_of_bounded_rows(spark):
+    coded = spark.range(1000, numPartitions=1).select(F.col("id").cast("double").alias("x"))
+    dealt = drivers._dealt(coded, 100)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 150
+    assert drivers._dealt(coded, 1000).rdd.getNumPartitions() == 1
