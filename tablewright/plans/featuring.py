@@ -11,6 +11,7 @@ from ..functions import fixed, roles
 from ..operators import features
 from ..operators.profile import _cell, _rows_from_wide, distinct_counts
 from ..functions.expr import half_up
+from ..session import materialize
 
 
 @dataclass
@@ -32,6 +33,7 @@ def feature_catalog(df: DataFrame, formulas: dict[str, tuple[str, str]]) -> Data
             [], "feature_name string, feature_type string, formula string, data_type string, missing_pct double, "
             "unique_count bigint"
         )
+    df, _ = materialize(df.select(*names), "features")  # read for the counts and the distinct values
     rows = _rows_from_wide(
         df,
         names,
@@ -95,14 +97,22 @@ def feature_pipeline(
     if policy != "full":
         raise ValueError(f"unknown policy {policy}")
 
+    sales = roles.first_named(df, fixed.SALES_NAMES)
+    last = []  # columns that need a shuffle: found on the table as it came, before it gets wide, and shown last
+    if sales:
+        _step(result, "window", lambda d: features.dense_rank_desc(d, sales, buckets=buckets, source=df),
+              lambda c: f"dense_rank() over (order by {sales} desc)")
+        if order_by:
+            _step(result, "window", lambda d: features.running_total(d, sales, order_by, buckets),
+                  lambda c: f"sum({sales}) over (order by {', '.join(order_by)})")
+        last = [c for c in result.table.columns if c not in df.columns][::-1]
     dates = roles.date_columns(df)
-    _step(result, "temporal", features.calendar_parts, lambda c: "calendar part")
+    _step(result, "temporal", lambda d: features.calendar_parts(d, dates) if dates else d, lambda c: "calendar part")
     ordered = next((c for c in dates if roles.has_token(c, "order", "ordered")), None)
     delivered = next((c for c in dates if roles.has_token(c, "delivery", "delivered", "ship", "shipped")), None)
     if ordered and delivered:
         _step(result, "temporal", lambda d: features.fulfilment_days(d, ordered, delivered),
               lambda c: f"greatest({delivered} - {ordered}, 0)")
-    sales = roles.first_named(df, fixed.SALES_NAMES)
     quantity = roles.first_named(df, fixed.QUANTITY_NAMES)
     price = roles.first_named(df, ["unit_price", "price"])
     discount = roles.first_with_token(df, "discount")
@@ -137,9 +147,5 @@ def feature_pipeline(
         total = features.column_total(base, sales)
         _step(result, "window", lambda d: features.pct_of_total(d, sales, total=total),
               lambda c: f"{sales} / sum({sales}) * 100")
-        if order_by:
-            _step(result, "window", lambda d: features.running_total(d, sales, order_by, buckets),
-                  lambda c: f"sum({sales}) over (order by {', '.join(order_by)})")
-        _step(result, "window", lambda d: features.dense_rank_desc(d, sales, buckets=buckets, source=base),
-              lambda c: f"dense_rank() over (order by {sales} desc)")
+    result.table = result.table.select(*[F.col(f"`{c}`") for c in [*[c for c in result.table.columns if c not in last], *last]])
     return result

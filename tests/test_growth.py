@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from registry import inputs
 from tablewright.functions import expr, fixed
-from tablewright.operators import charts, drivers
+from tablewright.operators import charts, drivers, features
+from tablewright.plans import featuring
 from tablewright.session import METHOD_BYTES, METHOD_LIMIT
 
 TABLES = {
@@ -88,3 +89,15 @@ def test_forest_takes_parts_of_bounded_rows(spark):
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 150
     assert drivers._dealt(coded, 1000).rdd.getNumPartitions() == 1
+
+
+def test_order_columns_are_found_before_the_table_gets_wide(spark, monkeypatch):
+    widths = []
+    for name in ("running_total", "dense_rank_desc"):
+        plain = getattr(features, name)
+        monkeypatch.setattr(features, name, lambda d, *a, _f=plain, **k: (widths.append(len(d.columns)), _f(d, *a, **k))[1])
+    df = spark.createDataFrame([(i, float(i % 3), datetime.date(2024, 1, 1 + i)) for i in range(9)], "id long, sales double, order_date date")
+    table = featuring.feature_pipeline(df, "full", ["id"]).table
+    assert max(widths) <= 4
+    assert table.columns[-2:] == ["running_cumulative_sales", "sales_rank"]
+    assert [r[0] for r in table.orderBy("id").select("running_cumulative_sales").collect()] == [0, 1, 3, 3, 4, 6, 6, 7, 9]
