@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry import inputs
 from tablewright.functions import expr, fixed
 from tablewright.operators import charts, drivers, features
-from tablewright.plans import featuring
+from tablewright.plans import cleaning, featuring
 from tablewright.session import METHOD_BYTES, METHOD_LIMIT
 
 TABLES = {
@@ -101,3 +101,10 @@ def test_order_columns_are_found_before_the_table_gets_wide(spark, monkeypatch):
     assert max(widths) <= 4
     assert table.columns[-2:] == ["running_cumulative_sales", "sales_rank"]
     assert [r[0] for r in table.orderBy("id").select("running_cumulative_sales").collect()] == [0, 1, 3, 3, 4, 6, 6, 7, 9]
+
+
+def test_cleaned_table_is_read_from_files(spark):
+    df = spark.createDataFrame([(str(i), "5" if i % 2 else None, f"2024-01-0{i + 1}" if i else None) for i in range(6)], "id string, quantity string, order_date string")
+    run = cleaning.clean_pipeline(df, key=["id"], order_by=["id"])
+    plan = run.cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
