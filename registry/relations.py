@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
 from tablewright.operators import clean, labels, states, tablesets, timejoins
-from tablewright.session import scratch_path
+from tablewright.session import materialize, scratch_path
 from tablewright.streaming.windows import append, deduplicated, windowed
 
 from .cleaning import BASE, NAMES, _null_placeholder, _title, _trim, with_sql
@@ -172,7 +172,7 @@ def _dims(s, d):
 
 
 def before_after_rows(s, d):
-    raw = clean.normalize_headers(dirty_sales(s, d))
+    raw, _ = materialize(clean.normalize_headers(dirty_sales(s, d)), "raw")  # both sides of the comparison read it
     return tablesets.multiset_difference(raw, clean.dedupe_exact(clean.trim_null_placeholders(raw)))
 
 

@@ -4,9 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from registry import inputs
+from registry import inputs, relations
 from tablewright.functions import expr, fixed
-from tablewright.operators import charts, drivers, features
+from tablewright.operators import charts, drivers, features, tablesets
 from tablewright.plans import cleaning, featuring
 from tablewright.session import METHOD_BYTES, METHOD_LIMIT
 
@@ -48,6 +48,30 @@ def test_row_with_a_copy(spark, tmp_path):
     assert inputs.dirty_sales(spark, str(tmp_path)).where("`Order ID` IS NOT NULL").count() == 2
 
 
+def _sources(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_derived_table_is_made_once_for_all_its_readers(spark, tmp_path):
+    _write(spark, tmp_path)
+    for build in (relations.before_after_rows,):
+        found = build(spark, str(tmp_path))
+        assert "l_linenumber" not in _sources(found), build
+        assert found.count() == (1 if build is relations.before_after_rows else 8)
+
+
+def test_difference_reads_each_table_once(spark, tmp_path):
+    rows = [(1, "a", 0.0, [1]), (1, "a", -0.0, [1]), (2, None, float("nan"), None), (2, None, float("nan"), None)]
+    schema = "i int, t string, x double, l array<int>"
+    for name, some in (("before", rows), ("after", rows[1:3])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}")
+    found = tablesets.multiset_difference(*[spark.read.parquet(f"{tmp_path}/{x}") for x in ("before", "after")])
+    assert _sources(found).count("Relation") == 2 and "Join" not in _sources(found)
+    assert sorted(map(str, found.collect())) == [
+        "Row(i=1, t='a', x=0.0, l=[1], n_before=1, n_after=0)", "Row(i=2, t=None, x=nan, l=None, n_before=2, n_after=1)",
+    ]
+
+
 def test_queries_keep_generated_methods_compilable(spark, tmp_path):
     _write(spark, tmp_path)
     spark.conf.unset(METHOD_LIMIT)
