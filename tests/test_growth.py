@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from registry import cleaning as registry_cleaning
 from registry import inputs, relations
 from tablewright.functions import expr, fixed
 from tablewright.operators import charts, drivers, features, tablesets
@@ -54,7 +55,7 @@ def _sources(df):
 
 def test_derived_table_is_made_once_for_all_its_readers(spark, tmp_path):
     _write(spark, tmp_path)
-    for build in (relations.before_after_rows,):
+    for build in (relations.before_after_rows, registry_cleaning.mode):
         found = build(spark, str(tmp_path))
         assert "l_linenumber" not in _sources(found), build
         assert found.count() == (1 if build is relations.before_after_rows else 8)
