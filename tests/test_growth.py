@@ -55,7 +55,7 @@ def _sources(df):
 
 def test_derived_table_is_made_once_for_all_its_readers(spark, tmp_path):
     _write(spark, tmp_path)
-    for build in (relations.before_after_rows, registry_cleaning.mode):
+    for build in (relations.before_after_rows, registry_cleaning.mode, registry_cleaning.fuzzy):
         found = build(spark, str(tmp_path))
         assert "l_linenumber" not in _sources(found), build
         assert found.count() == (1 if build is relations.before_after_rows else 8)
