@@ -49,6 +49,15 @@ def test_row_with_a_copy(spark, tmp_path):
     assert inputs.dirty_sales(spark, str(tmp_path)).where("`Order ID` IS NOT NULL").count() == 2
 
 
+def test_zero_fractions_go_and_bare_texts_are_not_searched(spark):
+    texts = ["1.0", "1.00", "1.0\n", "1.05", "10", "a.0.0", ".0", "1.0x", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    searched = df.select(F.regexp_replace("t", r"\.0+$", "").alias("t"))
+    got = df.select(expr.without_zero_fraction(F.col("t")).alias("t"))
+    assert got.collect() == searched.collect()
+    assert "Contains" in _sources(got) or "contains" in _sources(got).lower()
+
+
 def _sources(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
