@@ -16,6 +16,10 @@ from .order import RANGE, _earlier, ranged
 
 #: points of a bin that one task compares with the bin's spans
 FULL = 20_000
+#: most pairs of a point and a span that one task compares in a bin
+PAIRS = 50_000_000
+#: most points that meet a span as one row
+RUN = 500
 
 
 def _carried(cut: DataFrame, value: Column, position: Column) -> DataFrame:
@@ -110,31 +114,55 @@ def interval_join(
     """Points and spans of the same keys with ``start <= time <= end``; columns of both, the spans' keys once.
 
     A span is posted in every bin of time that it touches and a point in its own. Bins are as wide
-    as the spans are on average (or ``width_seconds``), so all postings are about twice the spans. A
-    bin with more than ``full`` points is split: its points are dealt by hash and its spans copied to each part.
-    Null keys and times match nothing, nor do spans that end before they start.
+    as the spans are on average (or ``width_seconds``), so all postings are about twice the spans. If a
+    bin has more than ``full`` points, points meet the spans as runs of at most that many, each a row of points that
+    follow one another in time: a span is sent to a bin once and not to each part of its points, and only the
+    points of runs at its ends are compared with it. A bin is dealt by hash to more tasks, and its spans copied to each, when
+    one task would compare too much. Null keys and times match nothing, nor do spans that end before they start.
     """
     on = on or []
     clash = (set(points.columns) & set(spans.columns)) - set(on)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = lambda c: micros(c) / F.lit(1e6)
     held = spans.where(F.col(start) <= F.col(end))
     width = width_seconds
     if width is None:
         width = held.agg(F.avg(seconds(end) - seconds(start))).first()[0]
     width = max(float(width or 0), 1.0)
     bin_of = lambda c: F.floor(seconds(c) / F.lit(width)).cast("long")
+    keys = [*on, "__bin"]
     keyed = points.where(F.col(time).isNotNull()).withColumn("__bin", bin_of(time))
-    busy, _ = materialize(
-        keyed.groupBy(*on, "__bin").count().where(F.col("count") > full).withColumn("__parts", F.ceil(F.col("count") / full).cast("int")).drop("count"),
-        "bins",
+    posted = held.withColumn("__bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    for c in on:
+        keyed, posted = keyed.where(F.col(c).isNotNull()), posted.where(F.col(c).isNotNull())
+    within = lambda t: (t >= F.col(start)) & (t <= F.col(end))
+    busy, _ = materialize(keyed.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > full), "bins")
+    if busy.isEmpty():
+        met = keyed.join(posted, keys).where(within(F.col(time)))
+        return met.select(*points.columns, *[c for c in spans.columns if c not in on])
+    size = min(full, RUN)
+    pairs = F.col("__n").cast("double") * F.col("__m")
+    tasks = F.least(F.ceil(F.col("__n") / size), F.greatest(F.ceil(F.col("__n") / FULL), F.ceil(pairs / PAIRS))).cast("int")
+    met = busy.join(posted.groupBy(*keys).agg(F.count("*").alias("__m")), keys)
+    dealing, _ = materialize(met.select(*keys, tasks.alias("__tasks")).where("__tasks > 1"), "dealing")
+    parts = F.coalesce("__tasks", F.lit(1))
+    dealt = keyed.join(dealing, keys, "left").withColumn("__part", F.pmod(F.xxhash64(*points.columns), parts).cast("int"))
+    place, rest = [*keys, "__part"], [c for c in spans.columns if c not in on]
+    # a number of its own, as few bytes make many pairs and partitions must not be merged by their size
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    follow = F.row_number().over(Window.partitionBy(*place).orderBy(time))
+    runs = dealt.repartition(n, *place).withColumn("__run", F.floor((follow - 1) / size)).groupBy(*place, "__run").agg(
+        F.min(time).alias("__first"), F.max(time).alias("__last"), F.collect_list(F.struct(*points.columns)).alias("__points")
     )
-    parts = F.coalesce("__parts", F.lit(1))
-    dealt = keyed.join(busy, [*on, "__bin"], "left").withColumn(
-        "__part", F.pmod(F.xxhash64(*points.columns), parts).cast("int")
-    ).drop("__parts")
-    posted = held.withColumn("__bin", F.explode(F.sequence(bin_of(start), bin_of(end)))).join(busy, [*on, "__bin"], "left")
-    copied = posted.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    met = dealt.join(copied, [*on, "__bin", "__part"]).where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end)))
-    return met.select(*points.columns, *[c for c in spans.columns if c not in on])
+    copied = posted.join(dealing, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__tasks")
+    near, inside = copied.repartition(n, *place).join(runs, place), F.lit(False)
+    # values of one type are ordered as they are compared
+    if len({points.schema[time].dataType, spans.schema[start].dataType, spans.schema[end].dataType}) == 1:
+        near = near.where((F.col("__first") <= F.col(end)) & (F.col("__last") >= F.col(start)))
+        inside = within(F.col("__first")) & within(F.col("__last"))
+    found = near.select(F.explode("__points").alias("__point"), inside.alias("__inside"), *rest).where(
+        F.col("__inside") | within(F.col("__point")[time])
+    )
+    return found.select(*[F.col("__point")[c].alias(c) for c in points.columns], *rest)

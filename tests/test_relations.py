@@ -88,6 +88,54 @@ def test_interval_join(spark, on, width, full):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def shuffled(df):
+    """Rows that the exchanges of an executed plan wrote."""
+
+    def written(plan):
+        found = plan.metrics().get("shuffleRecordsWritten")
+        children = plan.children()
+        return (found.get().value() if found.isDefined() else 0) + sum(written(children.apply(i)) for i in range(children.size()))
+
+    return written(df._jdf.queryExecution().executedPlan())
+
+
+def test_interval_join_sends_a_span_once_to_a_full_bin(spark):
+    sent = {}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (200, 400):
+            a = spark.createDataFrame([(at(i % 10), i) for i in range(n)], "t timestamp, id int")
+            b = spark.createDataFrame([(at(i % 10), at(i % 10 + 5), i) for i in range(n // 2)], "s timestamp, e timestamp, sid int")
+            found = timejoins.interval_join(a, b, "t", "s", "e", full=5)
+            assert len(found.collect()) == n * n // 2 * 45 // 100
+            sent[n] = shuffled(found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # each point once and each span in at most the three bins of five minutes that it touches
+    assert sent[200] <= 200 + 3 * 100 and sent[400] <= 2 * sent[200]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "string", "date"])
+def test_interval_join_of_bins_dealt_to_tasks(spark, monkeypatch, kind):
+    monkeypatch.setattr(timejoins, "FULL", 40)
+    monkeypatch.setattr(timejoins, "PAIRS", 100)
+    monkeypatch.setattr(timejoins, "RUN", 3)
+    points, spans = made(7, 300) + [(0, at(9), -1)] * 5, []
+    for i, (k, t, _) in enumerate(made(8, 90)):
+        back = timedelta(days=kind == "date")  # a day is its midnight
+        spans.append((k, t and t - back, t and t + timedelta(minutes=random.choice([-5, 0, 3, 600])), i))
+    a = spark.createDataFrame(points, "k int, t timestamp, id int").withColumn("t", F.col("t").cast(kind))
+    b = spark.createDataFrame(spans, "k int, s timestamp, e timestamp, sid int")
+    found = timejoins.interval_join(a, b, "t", "s", "e", ["k"], full=10)
+    shown = {"date": lambda t: t.date(), "string": str, "timestamp": lambda t: t}[kind]
+    level = (lambda t: t.replace(hour=0, minute=0)) if kind == "date" else (lambda t: t)
+    want = [
+        (k, shown(t), i, s, e, j) for k, t, i in points for sk, s, e, j in spans
+        if None not in (k, t, s, e) and k == sk and s <= level(t) <= e
+    ]
+    assert want and text(rows(found)) == text(want)
+
+
 def test_multiset_difference(spark):
     random.seed(6)
     pick = lambda n: [(random.choice([None, "", "a", "b:", "-"]), random.choice([None, 1, 2])) for _ in range(n)]
