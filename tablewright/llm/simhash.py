@@ -132,7 +132,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     homes = distinct.mapInArrow(partial(_anchors, reach=False), schema)
     reach = distinct.mapInArrow(partial(_anchors, reach=True), "half int, anchor long, other long")
     close = (F.col("bits") != F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= threshold)
-    met = homes.join(reach, ["half", "anchor"]).where(close)
+    # Spark sizes what Python makes of a row as one row, so it would send all anchors to the driver: both sides are merged
+    met = homes.hint("merge").join(reach.hint("merge"), ["half", "anchor"]).where(close)
     return met.select(F.least("bits", "other").alias("a"), F.greatest("bits", "other").alias("b")).distinct()
 
 

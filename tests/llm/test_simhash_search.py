@@ -135,3 +135,11 @@ def test_index_small_and_odd(spark):
     empty = frame.where("false")
     assert permutation.nearest(empty, empty).count() == 0
     assert permutation.nearest(frame, empty).count() == 0
+
+
+def test_anchors_are_merged_and_not_sent_to_the_driver(spark):
+    fingerprints = spark.createDataFrame([(0,), (1,), (0xFF00,)], "bits long")
+    met = simhash.links(fingerprints)
+    assert [tuple(r) for r in met.collect()] == [(0, 1)]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
