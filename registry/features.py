@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import features
 from tablewright.plans import featuring
-from tablewright.session import materialize
+from tablewright.session import materialize_all
 
-from .inputs import CENSUS_CTE, CENSUS_YEARS, ORDER_KEY, SALES_COLUMNS, SALES_CTE, census, query, rounded, sales, sql, table
+from .inputs import CENSUS_CTE, CENSUS_YEARS, ORDER_KEY, SALES_COLUMNS, SALES_CTE, census, query, rounded, sales, sales_parts, sql, table
 
 KEY = "order_id, CAST(line_no AS BIGINT) AS line_no, part_id, supplier_id"
 PLACE = '"Country/Territory", "Continent"'
@@ -59,12 +59,13 @@ SCALED = ["quantity", "unit_price", "total_sales"]
 
 def full(s, d):
     """The full run; like any later step it reads its table from files."""
-    t, _ = materialize(sales(s, d), "sales")
-    return featuring.feature_pipeline(t, "full", ORDER_KEY)
+    t, path = materialize_all(sales_parts(s, d), "sales")
+    return featuring.feature_pipeline(t, "full", ORDER_KEY, spent=[path])
 
 
 def catalog(s, d):
-    return full(s, d).catalog().select("feature_name", "feature_type", "missing_pct", "unique_count")
+    found = full(s, d)
+    return found.catalog(found.scratch).select("feature_name", "feature_type", "missing_pct", "unique_count")
 
 
 QUERIES = {

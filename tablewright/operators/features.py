@@ -313,8 +313,11 @@ def pct_of_total(df: DataFrame, value: str, out: str | None = None, total: float
     return df.withColumn(out or f"{value}_pct_of_total", half_up(F.col(value) / F.lit(total) * 100.0, 4))
 
 
-def running_total(df: DataFrame, value: str, order_by: list[str], buckets: int | None = None) -> DataFrame:
-    return order.running_total(df, value, order_by, buckets=buckets)
+def running_total(
+    df: DataFrame, value: str, order_by: list[str], buckets: int | None = None, made: list[str] | None = None,
+    spent: list[str] | None = None, source: DataFrame | None = None,
+) -> DataFrame:
+    return order.running_total(df, value, order_by, buckets=buckets, made=made, spent=spent, source=source)
 
 
 def dense_rank_desc(

@@ -11,21 +11,22 @@ from ..functions import fixed, roles
 from ..operators import features
 from ..operators.profile import _cell, _rows_from_wide, distinct_counts
 from ..functions.expr import half_up
-from ..session import materialize
+from ..session import drop, materialize, released
 
 
 @dataclass
 class FeatureResult:
     table: DataFrame
     formulas: dict[str, tuple[str, str]] = field(default_factory=dict)
+    scratch: list[str] = field(default_factory=list)
 
-    def catalog(self) -> DataFrame:
+    def catalog(self, spent: list[str] | None = None) -> DataFrame:
         """Name, kind, formula and type of every derived column, with measured missing share
-        and distinct count."""
-        return feature_catalog(self.table, self.formulas)
+        and distinct count. ``spent`` are folders of the table that go once it has been read."""
+        return feature_catalog(self.table, self.formulas, spent)
 
 
-def feature_catalog(df: DataFrame, formulas: dict[str, tuple[str, str]]) -> DataFrame:
+def feature_catalog(df: DataFrame, formulas: dict[str, tuple[str, str]], spent: list[str] | None = None) -> DataFrame:
     names = [c for c in df.columns if c in formulas]
     by = {f.name: f.dataType.simpleString() for f in df.schema}
     if not names:
@@ -34,6 +35,7 @@ def feature_catalog(df: DataFrame, formulas: dict[str, tuple[str, str]]) -> Data
             "unique_count bigint"
         )
     df, _ = materialize(df.select(*names), "features")  # read for the counts and the distinct values
+    drop(df.sparkSession, *(spent or []))
     rows = _rows_from_wide(
         df,
         names,
@@ -78,11 +80,23 @@ def feature_pipeline(
     margin: bool = False,
     cogs_ratio: float = fixed.COGS_RATIO,
     buckets: int | None = None,
+    spent: list[str] | None = None,
 ) -> FeatureResult:
     """``minimal`` adds only projections and a wanted margin, ``full`` everything the columns allow.
 
-    The running total needs ``order_by``, a unique key; without one it is left out.
+    The running total needs ``order_by``, a unique key; without one it is left out. With it the table is
+    written in that order, and folders ``spent`` that hold the table as it came go once it has been read.
     """
+    with released(df.sparkSession):
+        result = _featured(df, policy, order_by, target_year, horizon, margin, cogs_ratio, buckets, spent)
+    result.table = result.table.select("*")  # the caller's actions may reuse their shuffle files
+    return result
+
+
+def _featured(
+    df: DataFrame, policy: str, order_by: list[str] | None, target_year: int | None, horizon: str | int | None, margin: bool,
+    cogs_ratio: float, buckets: int | None, spent: list[str] | None,
+) -> FeatureResult:
     result = FeatureResult(df)
     if policy == "minimal":
         if len(roles.year_columns(df)) >= 2:
@@ -98,13 +112,14 @@ def feature_pipeline(
         raise ValueError(f"unknown policy {policy}")
 
     sales = roles.first_named(df, fixed.SALES_NAMES)
-    last = []  # columns that need a shuffle: found on the table as it came, before it gets wide, and shown last
+    base, last = df, []  # columns that need a shuffle: found on the table as it came, before it gets wide, and shown last
     if sales:
         _step(result, "window", lambda d: features.dense_rank_desc(d, sales, buckets=buckets, source=df),
               lambda c: f"dense_rank() over (order by {sales} desc)")
         if order_by:
-            _step(result, "window", lambda d: features.running_total(d, sales, order_by, buckets),
+            _step(result, "window", lambda d: features.running_total(d, sales, order_by, buckets, result.scratch, spent, df),
                   lambda c: f"sum({sales}) over (order by {', '.join(order_by)})")
+            base = result.table.select(*[F.col(f"`{c}`") for c in df.columns])  # the same rows, still there
         last = [c for c in result.table.columns if c not in df.columns][::-1]
     dates = roles.date_columns(df)
     _step(result, "temporal", lambda d: features.calendar_parts(d, dates) if dates else d, lambda c: "calendar part")
@@ -133,7 +148,6 @@ def feature_pipeline(
         _step(result, "binned", lambda d: features.revenue_tier(d, sales), lambda c: f"tier of {sales}")
     if rating:
         _step(result, "binned", lambda d: features.satisfaction_tier(d, rating), lambda c: f"tier of {rating}")
-    base = df
     dictionaries = features._encodable(base, None, 15)
     if dictionaries:
         _step(result, "encoded", lambda d: features.label_encode(d, dictionaries=dictionaries),
