@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import fixed
 from tablewright.operators import clean, labels, states, tablesets, timejoins
-from tablewright.session import materialize, scratch_path
+from tablewright.session import materialize_all, scratch_path
 from tablewright.streaming.windows import append, deduplicated, windowed
 
 from .cleaning import BASE, NAMES, _null_placeholder, _title, _trim, with_sql
-from .inputs import SALES_CTE, dirty_sales, money_sum, query, sales, sql, table
+from .inputs import SALES_CTE, dirty_parts, money_sum, query, sales, sql, table
 
 MISSPELT = {
     # a letter is left out, doubled or added, by the key of the part
@@ -172,7 +172,7 @@ def _dims(s, d):
 
 
 def before_after_rows(s, d):
-    raw, _ = materialize(clean.normalize_headers(dirty_sales(s, d)), "raw")  # both sides of the comparison read it
+    raw, _ = materialize_all([clean.normalize_headers(p) for p in dirty_parts(s, d)], "raw")  # both sides read it
     return tablesets.multiset_difference(raw, clean.dedupe_exact(clean.trim_null_placeholders(raw)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import dealt, materialize, materialize_all, parts_of
 
 
 def grouping_sets(df: DataFrame, sets: list[list[str]], aggregates: list[Column]) -> DataFrame:
@@ -39,8 +39,9 @@ def _keyed_by_value(kind: T.DataType) -> bool:
 def multiset_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """The rows that the tables do not hold equally often: their columns, n_before and n_after.
 
-    Each table is read once: rows are counted as they are, with one shuffle of both tables, and copies collapse before
-    it (a third of a table may be one row). The rows with n_before above n_after, as often as the
+    Rows are counted as they are, with one shuffle of both tables, and copies collapse before it (a third of a table
+    may be one row). Small tables are read once; large ones are worked off in parts by the hash of a row, so that
+    the disk holds the shuffles of one part at a time, and what differs is written. The rows with n_before above n_after, as often as the
     difference, are ``before EXCEPT ALL after``, and the other way round.
     """
     if before.columns != after.columns:
@@ -51,8 +52,18 @@ def multiset_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     plain = {f.name: _keyed_by_value(f.dataType) for f in signed.schema}
     keys = [F.col(c) if plain[c] else F.col(c).cast("string").alias(f"__k{i}") for i, c in enumerate(before.columns)]
     shown = [F.any_value(c).alias(c) for c in before.columns if not plain[c]]
-    counted = signed.groupBy(*keys).agg(F.sum("__b").alias("n_before"), F.sum("__a").alias("n_after"), *shown)
-    return counted.where("n_before <> n_after").select(*before.columns, "n_before", "n_after")
+    n, parts = parts_of(signed), []
+    for part in dealt(signed, _telling(before, plain) if n > 1 else [], n):
+        counted = part.groupBy(*keys).agg(F.sum("__b").alias("n_before"), F.sum("__a").alias("n_after"), *shown)
+        parts.append(counted.where("n_before <> n_after").select(*before.columns, "n_before", "n_after"))
+    return parts[0] if len(parts) == 1 else materialize_all(parts, "difference")[0]
+
+
+def _telling(df: DataFrame, plain: dict[str, bool], most: int = 2) -> list[Column]:
+    """The columns with most different values, which deal rows out as well as all and cost less."""
+    told = [F.col(c) if plain[c] else F.col(c).cast("string") for c in df.columns]
+    counts = df.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(told)]).first()
+    return [told[i] for i in sorted(range(len(told)), key=lambda i: -counts[i])[:most]]
 
 
 def above_group_mean(df: DataFrame, key: str, value: str, out: str = "group_mean") -> DataFrame:
